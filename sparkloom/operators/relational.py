@@ -1,0 +1,29 @@
+"""Filters, projections, sorts, aggregates, joins, set operations and windows in the DataFrame API."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import Registry, Tables
+
+R = Registry()
+
+
+def money(col: str):
+    """Decimal sums are exact, so they do not depend on the order of rows."""
+    return F.col(col).cast("decimal(18,2)")
+
+
+@R.operator("""
+SELECT c_mktsegment, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total, count(*) AS n_orders
+FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment""")
+def join_inner_group(t: Tables) -> DataFrame:
+    return (
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_mktsegment")
+        .agg(F.sum(money("o_totalprice")).cast("decimal(28,2)").alias("total"), F.count(F.lit(1)).alias("n_orders"))
+    )
+
+
+QUERIES, ORACLES = R.queries, R.oracles
