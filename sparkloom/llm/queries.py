@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op1_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
