@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op8_packing
+from .substring import op2_substring_dedup
 from .token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {
