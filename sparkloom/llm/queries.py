@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_bpe
 from .chat import OP7_SQL, op7_chat
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .near_dedup import op9_near_dedup
 from .packing import op8_packing
 from .rules import op3_quality
 from .substring import op2_substring_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
