@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op4_ann
 from .bpe import op1_bpe
 from .chat import OP7_SQL, op7_chat
 from .exact_dedup import OP6_SQL, op6_exact_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
+    "op4_ann": op4_ann,
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat": op7_chat,
