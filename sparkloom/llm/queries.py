@@ -10,6 +10,7 @@ from .ann import op4_ann
 from .bpe import op1_bpe
 from .chat import OP7_SQL, op7_chat
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_text import op10_html
 from .near_dedup import op9_near_dedup
 from .packing import op8_packing
 from .rules import op3_quality
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {
