@@ -1,13 +1,82 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again for the next one."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again for the next one.
+
+A stage reads all rows its predecessor kept and returns the columns of documents (the last one: packed pieces). Rows are
+known by their place (file and row in it), so rows that share a doc_id, or have none, are judged one by one.
+
+Defined results: null texts are empty texts throughout; a table without rows passes as one; columns beyond those of documents
+are not read.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize, table
+from sparkloom.llm.exact_dedup import dedup_exact
+from sparkloom.llm.near_dedup import near_classes
+from sparkloom.llm.packing import pack_documents
+from sparkloom.llm.rules import THRESHOLD, fit_quality, score_quality
+from sparkloom.llm.substring import dedup_substrings
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CAPACITY, END_ID = 4096, 1
+
+_PLACE = ("_file", "_row")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with the place of each row: it stays the same in every scan of the files."""
+    own = docs.select(*COLUMNS)
+    place = (F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    try:
+        return own.select(*COLUMNS, *place)
+    except AnalysisException:  # docs aren't files
+        return materialize(own, "docs").select(*COLUMNS, *place)
+
+
+def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    return docs.join(judged.where("kept").select(*_PLACE), list(_PLACE), "left_semi").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble accepts."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs.select(*COLUMNS), model, "_score").where(F.col("_score") >= THRESHOLD).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id."""
+    rows = _placed(docs)
+    return _kept(rows, dedup_exact(rows, carry=_PLACE))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the row with the smallest doc_id."""
+    rows = _placed(docs)
+    return _kept(rows, near_classes(rows, carry=_PLACE))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that start in a document with a smaller doc_id; texts that lose all their words go."""
+    found = dedup_substrings(docs, text=True, carry=("lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    left = found.where(~changed | (F.col("n_removed") < F.col("n_words")))
+    return left.select(
+        "doc_id", F.col("kept").alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, with their sequences and places in them."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY)
+
 
 #: (name, function of (spark, docs, sf_dir)).
-STAGES: list = []
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substrings), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Several stages (model fitting, sketches, packing) have no SQL form; tests compare run() with brute force.
+#: A fitted model, signatures and packing have no SQL form; a test compares run() with a brute-force version.
 ORACLE_SQL = None

@@ -34,8 +34,8 @@ def unpack(packs: pa.ChunkedArray) -> pa.Table | None:
     return pa.concat_tables(tables) if tables else None
 
 
-def pack_blocks(docs: DataFrame, blocks: int, flush_bytes: int = 64 << 20) -> DataFrame:
-    """(block, pack) rows of docs (doc_id, text): a task packs what it has read once flush_bytes are gathered."""
+def pack_blocks(docs: DataFrame, blocks: int, carry: tuple[str, ...] = (), flush_bytes: int = 64 << 20) -> DataFrame:
+    """(block, pack) rows of docs (doc_id, text, carry): a task packs what it has read once flush_bytes are gathered."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -62,6 +62,7 @@ def pack_blocks(docs: DataFrame, blocks: int, flush_bytes: int = 64 << 20) -> Da
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
         F.col("doc_id").cast("long"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *(F.col(c).alias(f"_carry_{c}") for c in carry),
     )
     return keyed.mapInArrow(pack, "block int, pack binary")
 

@@ -43,14 +43,14 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """Dedupe docs (doc_id, text) against the index and themselves, append what is new, tell each row's fate.
 
-        Returns doc_id, keep_id, group_size (rows of this batch with the text), kept, text_sha256. A batch that is
+        Returns doc_id, keep_id, group_size (rows of this batch with the text), kept, text_sha256, and the columns of carry. A batch that is
         added again after a failure gets the same answer: a row that the index already names is kept.
         """
         rows = materialize(
-            docs.select("doc_id", text_digest(F.col("text")).alias("digest")).withColumn("uid", F.monotonically_increasing_id()),
+            docs.select("doc_id", text_digest(F.col("text")).alias("digest"), *(F.col(c).alias(f"_carry_{c}") for c in carry)).withColumn("uid", F.monotonically_increasing_id()),
             "digests",
         )
         order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
@@ -77,14 +77,15 @@ class DigestIndex:
             "group_size",
             (own & (~F.col("old") | F.col("doc_id").eqNullSafe(F.col("keep_id")))).alias("kept"),
             F.col("digest").alias("text_sha256"),
+            *(F.col(f"_carry_{c}").alias(c) for c in carry),
         )
 
 
-def dedup_exact(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def dedup_exact(docs: DataFrame, index: DigestIndex | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's fate; without an index, against a new one."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark, scratch(spark, "digest-index"), shuffle_partitions(spark))
-    return index.add(docs)
+    return index.add(docs, carry)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,9 +81,11 @@ def _digests(h: np.ndarray, owner: np.ndarray, sets: int) -> tuple[np.ndarray, n
     return out[0], out[1], np.bincount(owner, minlength=sets)
 
 
-def sign(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """Digest, size, band keys and coordinate bytes of each text of docs (doc_id, text)."""
-    k = BANDS * ROWS
+def sign(docs: DataFrame, weighted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Digest, size, band keys and coordinate bytes of each text of docs (doc_id, text), and the columns of carry."""
+    k, carried = BANDS * ROWS, docs.select(*carry).schema
+    schema = _SIGNED + "".join(f", `_carry_{f.name}` {f.dataType.simpleString()}" for f in carried)
+    names = [*(x.split()[0] for x in _SIGNED.split(", ")), *(f"_carry_{c}" for c in carry)]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +100,11 @@ def sign(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 sketch = (sig >> np.uint64(24)).astype(np.uint8)
                 da, db, n = _digests(h, owner, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(da), pa.array(db), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    [x.split()[0] for x in _SIGNED.split(", ")],
+                    [batch.column(0).slice(a, b - a), pa.array(da), pa.array(db), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), *(c.slice(a, b - a) for c in batch.columns[2:])],
+                    names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(signed, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry_{c}") for c in carry)).mapInArrow(signed, schema)
 
 
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
@@ -287,14 +289,15 @@ def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, least: float,
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, est double, full boolean")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, class_id, class_size, kept."""
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of docs (doc_id, text): doc_id, class_id, class_size, kept, and the columns of carry."""
+    held = [f"_carry_{c}" for c in carry]
     slack = 5 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
     least = similarity - slack
-    signed = materialize(sign(docs, weighted).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signed = materialize(sign(docs, weighted, carry).withColumn("uid", F.monotonically_increasing_id()), "signed")
     sets = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("node"))
     members = materialize(
-        signed.select("uid", "doc_id", "n", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left").withColumn("node", F.coalesce("node", "uid")), "members"
+        signed.select("uid", "doc_id", "n", "set_a", "set_b", *held).join(sets, ["set_a", "set_b"], "left").withColumn("node", F.coalesce("node", "uid")), "members"
     )
     heads = members.where("n > 0 AND uid = node").select("uid", "node", "doc_id", "set_a", "set_b")
     nodes = materialize(heads.join(signed.select("uid", "n", "bands", "sketch"), "uid").drop("uid"), "nodes")
@@ -322,11 +325,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
             if not some and not full:
                 break
             most *= 4
-    placed = members.join(labels, "node", "left").select("uid", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(labels, "node", "left").select("uid", "doc_id", F.coalesce("comp", "node").alias("comp"), *held)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
     classes = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, "comp").select(
-        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept")
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"),
+        *(F.col(h).alias(c) for h, c in zip(held, carry, strict=True)),
     )
 
 

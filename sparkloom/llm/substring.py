@@ -29,6 +29,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import BLOCK_BYTES, bounded, expand, expand_bits, pack_blocks, squeeze, squeeze_bits, unpack
 from .common import blocks_for, table, text_bytes
@@ -48,13 +49,15 @@ class _Block:
     """The documents of a block: words, anchors and windows in the order of doc_id."""
 
     def __init__(self, packs: pa.ChunkedArray, window: int):
-        rows = unpack(packs)
+        rows = self.rows = unpack(packs)
         self.doc_ids: list = []
         self.texts: list[bytes] = []
         if rows is not None:
             ids = rows.column("doc_id").to_pylist()
             texts = rows.column("text")
-            for i in sorted(range(len(ids)), key=lambda i: _NO_ID if ids[i] is None else ids[i]):
+            order = sorted(range(len(ids)), key=lambda i: _NO_ID if ids[i] is None else ids[i])
+            self.rows = rows.take(pa.array(order, pa.int64()))
+            for i in order:
                 self.doc_ids.append(ids[i])
                 self.texts.append(texts[i].as_py().encode())
         self.window = window
@@ -158,15 +161,15 @@ def _shared_anchors(block: _Block, bits: pa.Table, parts: int) -> np.ndarray:
     return hashes[_answers(bits, parts, _cuts(hashes, parts))]
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text.
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256; if asked for, the kept text; the columns of carry.
 
-    The kept words are joined by one space.
+    The digest is of the kept words joined by one space; so is the kept text, but a text that loses nothing stays as it is.
     """
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
     blocks = parts = blocks_for(text_bytes(docs), BLOCK_BYTES)
-    packs = pack_blocks(docs, blocks)
+    packs = pack_blocks(docs, blocks, carry)
 
     def name_anchors(key: tuple, group: pa.Table) -> pa.Table:
         hashes, several = _block_anchors(_Block(group.column("pack"), window))
@@ -243,13 +246,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False)
                     kept = list(compress(kept, (~lost).tolist()))
                 joined = b" ".join(kept)
                 row = (block.doc_ids[first + i], len(lost), int(lost.sum()), hashlib.sha256(joined).hexdigest())
-                out.append((*row, joined.decode()) if text else row)
+                out.append((*row, (joined if lost.any() else data).decode()) if text else row)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + text]
         columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        # The rows of out are in the order of block.rows; a group without documents has no rows.
+        arrays += [block.rows.column(f"_carry_{c}") if out else pa.array([], carried.field(c).type) for c in carry]
+        return pa.Table.from_arrays(arrays, names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [*(x.split()[0] for x in schema.split(", ")), *carry]
+    carried = to_arrow_schema(docs.select(*carry).schema)
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     anchors = packs.groupBy("block").applyInArrow(name_anchors, "part int, block int, hashes binary, several binary")
     anchor_bits = anchors.groupBy("part").applyInArrow(judge_anchors, _BITS)
     found = packs.groupBy("block").cogroup(anchor_bits.groupBy("block")).applyInArrow(name_windows, "part int, block int, a binary, b binary, ids binary")
