@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ..functions import conditional, math, nested, strings, temporal
+from ..plans import owned
+from ..streaming import batch_equivalents
+from . import aggregates, filters, joins, ordering, sets, windows
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import relational
-
-Query = Callable[[SparkSession, str], DataFrame]
+_ALL = (filters, ordering, aggregates, joins, sets, windows, strings, math, temporal, nested, conditional, owned, batch_equivalents)
 
 
 def queries() -> dict[str, Query]:
-    return dict(relational.QUERIES)
+    return {name: q for m in _ALL for name, q in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.ORACLES)
+    return {name: q for m in _ALL for name, q in m.R.oracles.items()}
