@@ -48,6 +48,7 @@ _CONDITIONS = (
     ("CANNOT_PARSE", "TYPE_MISMATCH"),
     ("NUMERIC_VALUE_OUT_OF_RANGE", "TYPE_MISMATCH"),
     ("INVALID_PARAMETER_VALUE", "TYPE_MISMATCH"),
+    ("INVALID_INLINE_TABLE.FAILED_SQL_EXPRESSION_EVALUATION", "TYPE_MISMATCH"),
     ("PARSE_", "SQL_SYNTAX_ERROR"),
     ("UNRESOLVED_ROUTINE", "FEATURE_NOT_SUPPORTED"),
     ("UNSUPPORTED_", "FEATURE_NOT_SUPPORTED"),
