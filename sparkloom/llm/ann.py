@@ -35,7 +35,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     """The orthonormal Walsh-Hadamard transform of rows whose length is a power of two."""
     n, half = x.shape[1], 1
     while half < n:
-        x = x.reshape(len(x), -1, 2, half)
+        x = x.reshape(len(x), n // (2 * half), 2, half)
         x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), 2).reshape(len(x), n)
         half *= 2
     return x / np.sqrt(n)
