@@ -23,3 +23,20 @@ def tumbling(events: DataFrame, width: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("decimal(28,4)").alias("total")
     )
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@R.operator("""
+SELECT time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes' * k AS start, count(*) AS n
+FROM events, (VALUES (0), (1)) s(k) GROUP BY ALL""")
+def events_sliding(t: Tables) -> DataFrame:
+    rows = t.events.groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@R.operator("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_sessions(t: Tables) -> DataFrame:
+    rows = t.events.groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
