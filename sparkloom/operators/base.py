@@ -13,10 +13,10 @@ class Tables:
     """The Parquet tables of a folder as attributes."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 class Registry:

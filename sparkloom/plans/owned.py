@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.base import Registry, Tables
+from ..session import work_folder
+from ..sql.engine import Engine
 from ..sql.pseudonyms import digest_column, digest_sql
 
 R = Registry()
@@ -17,3 +19,99 @@ EXAMPLE_KEY = "an example key"
 @R.operator(f"SELECT c_custkey, {digest_sql(EXAMPLE_KEY, 'c_name')} AS pseudonym FROM customer")
 def pseudonymize_column(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", digest_column(EXAMPLE_KEY, F.col("c_name")).alias("pseudonym"))
+
+
+def engine(t: Tables, *tables: str) -> Engine:
+    """An engine in a folder of its own, with some of the Parquet tables registered."""
+    own = Engine(t.spark, work_folder(t.spark, "engine"))
+    for name in tables:
+        own.register(name, f"{t.folder}/{name}.parquet")
+    return own
+
+
+@R.operator("SELECT * FROM (VALUES (1, 'one', 10), (2, 'changed', 21), (4, 'four', NULL)) v(id, name, n)")
+def dml_insert_update_delete(t: Tables) -> DataFrame:
+    own = engine(t)
+    own.execute("""
+        CREATE TABLE a (id INTEGER NOT NULL, name VARCHAR, n INTEGER) WITH (shards = 3, shard_by = 'id');
+        INSERT INTO a (id, name, n) VALUES (1, 'one', 10), (2, 'two', 20), (3, 'three', 30), (4, 'four', NULL);
+        UPDATE a SET name = 'changed', n = n + 1 WHERE id = 2;
+        DELETE FROM a WHERE n >= 30""")
+    return own.query("SELECT id, name, n FROM a")
+
+
+@R.operator("SELECT * FROM (VALUES (1, CAST(NULL AS BIGINT), 'a'), (2, 5, 'b')) v(id, n, label)")
+def alter_add_column_read(t: Tables) -> DataFrame:
+    own = engine(t)
+    own.execute("""
+        CREATE TABLE a (id INTEGER NOT NULL, name VARCHAR);
+        INSERT INTO a (id, name) VALUES (1, 'a');
+        ALTER TABLE a ADD COLUMN n INTEGER, RENAME COLUMN name TO label;
+        INSERT INTO a (id, label, n) VALUES (2, 'b', 5);
+        ALTER TABLE a ALTER COLUMN n TYPE BIGINT""")
+    return own.query("SELECT id, n, label FROM a")
+
+
+@R.operator("""
+SELECT * FROM (VALUES ('a', 'id', 1, 'INTEGER', false), ('a', 'name', 2, 'VARCHAR(20)', true)) v(table_name, column_name, ordinal_position, data_type, is_nullable)""")
+def catalog_columns(t: Tables) -> DataFrame:
+    own = engine(t)
+    own.execute("CREATE TABLE a (id INTEGER NOT NULL, name VARCHAR(20))")
+    return own.query("SELECT table_name, column_name, ordinal_position, data_type, is_nullable FROM engine_catalog.columns")
+
+
+@R.operator("SELECT 'HASH' AS shard_strategy, 'k' AS shard_key, 4 AS shard_count, 2 AS replication_factor, 4 AS shards")
+def catalog_tables(t: Tables) -> DataFrame:
+    own = engine(t)
+    own.execute("CREATE TABLE a (id INTEGER, k BIGINT) WITH (shards = 4, replication_factor = 2, shard_by = 'HASH(k)')")
+    return own.query("""
+        SELECT shard_strategy, shard_key, shard_count, replication_factor, CAST(count(*) AS INTEGER) AS shards
+        FROM engine_catalog.tables t JOIN engine_catalog.shards s ON t.table_name = s.table_name GROUP BY 1, 2, 3, 4""")
+
+
+@R.operator("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 77")
+def shard_prune_point(t: Tables) -> DataFrame:
+    """A sharded copy of orders, read at one key: only the files of its shard are listed."""
+    own = engine(t)
+    own.execute("CREATE TABLE o (o_orderkey BIGINT NOT NULL, o_custkey BIGINT, o_orderstatus VARCHAR) WITH (shards = 8, shard_by = 'o_orderkey')")
+    own.append("o", own.spark.read.parquet(f"{t.folder}/orders.parquet"))
+    return own.query("SELECT o_orderkey, o_custkey, o_orderstatus FROM o WHERE o_orderkey = 77.0")
+
+
+@R.operator("SELECT count(*) AS n, 8 AS shards, true AS even FROM orders")
+def shard_distribution(t: Tables) -> DataFrame:
+    """All rows arrive, in all shards, none with twice its share."""
+    own = engine(t)
+    own.execute("CREATE TABLE o (o_orderkey BIGINT NOT NULL, o_totalprice DOUBLE) WITH (shards = 8)")
+    own.append("o", own.spark.read.parquet(f"{t.folder}/orders.parquet"))
+    by = own.catalog.read(own.catalog.get("o")).groupBy("_shard").agg(F.count(F.lit(1)).alias("m"))
+    return by.agg(F.sum("m").alias("n"), F.count(F.lit(1)).cast("int").alias("shards"), (F.max("m") < F.sum("m") / 4).alias("even"))
+
+
+@R.operator("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def sql_distinct_on(t: Tables) -> DataFrame:
+    return engine(t, "orders").query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+
+
+@R.operator("SELECT p_brand, p_partkey FROM part QUALIFY rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) <= 3")
+def sql_qualify(t: Tables) -> DataFrame:
+    return engine(t, "part").query("SELECT p_brand, p_partkey FROM part QUALIFY rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) <= 3")
+
+
+@R.operator("""
+SELECT event_id, strftime(ts, '%d.%m.%Y %H:%M') AS told, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, ends_with(event_type, 'k') AS k, 'type: ' || upper(event_type) AS label, [event_id, user_id] AS both
+FROM events WHERE event_type ILIKE 'C%' AND regexp_matches(event_type, 'k$')""")
+def sql_dialect(t: Tables) -> DataFrame:
+    return engine(t, "events").query(r"""
+        SELECT event_id, TO_CHAR(ts, 'DD.MM.YYYY HH24:MI') AS told, date_trunc('hour', ts) AS hour, ends_with(event_type, 'k') AS k, 'type: ' || upper(event_type) AS label, ARRAY[event_id, user_id] AS both
+        FROM public.events WHERE event_type ILIKE 'C%' AND event_type ~ 'k$'  -- a comment; with a stop""")
+
+
+@R.operator("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000.5")
+def sql_prepared(t: Tables) -> DataFrame:
+    return engine(t, "customer").prepare("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = $1 AND c_acctbal > $2").execute(["BUILDING", 1000.5]).frame
+
+
+@R.operator("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') DESC NULLS FIRST, o_orderkey) AS place FROM orders WHERE o_orderkey < 500")
+def sql_null_order(t: Tables) -> DataFrame:
+    return engine(t, "orders").query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') DESC, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderkey < 500")

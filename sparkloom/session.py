@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results; an existing session gets them as well.
@@ -41,3 +44,9 @@ def apply_semantics(spark: SparkSession) -> SparkSession:
     for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A fresh folder that the driver and all executors share: below spark.checkpoint.dir, or a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +128,30 @@ def _check(catalog: Catalog, table: Table, rows: DataFrame) -> None:
             raise EngineError("ENGINE_ERROR", f'a row violates the primary key of "{table.name}"', sqlstate="23505")
 
 
+def append(catalog: Catalog, name: str, rows: DataFrame) -> None:
+    """Append a whole frame to a table; its columns are found by name. Keys are hashed batch by batch on the executors."""
+    table = catalog.get(name)
+    if table.anonymized:
+        raise not_supported("appending a frame to a table with anonymized columns")
+    missing = {c.name for c in table.columns} - set(rows.columns)
+    own = rows.select(*(F.lit(None).cast(spark_type(c.sql_type)).alias(c.physical) if c.name in missing else F.col(f"`{c.name}`").cast(spark_type(c.sql_type)).alias(c.physical) for c in table.columns))
+    key, shards = table.column(table.shard_key).physical, table.shards
+
+    @F.pandas_udf("int")
+    def shard(keys: pd.Series) -> pd.Series:
+        number = {k: routing.shard_of(routing.key_text(k), shards) for k in keys.unique()}
+        return keys.map(number).astype("int32")
+
+    if own.where(F.col(key).isNull()).limit(1).count():
+        raise not_supported(f'NULL in the shard key "{table.shard_key}"')
+    placed = own.withColumn("_shard", shard(F.col(key)))
+    _check(catalog, table, own)
+    version = table.version
+    # Each task writes the rows of few shards; AQE splits a shard that is too large for one of them.
+    table.files += stage(catalog, table, placed.hint("rebalance", F.col("_shard")))
+    catalog.put(table, version)
+
+
 def _insert_secrets(catalog: Catalog, cursor: Cursor) -> int:
     names = [c[0].name for c in cursor.parenthesized()]
     if sorted(names) != ["algo", "id", "secret_key"]:
