@@ -64,3 +64,21 @@ SELECT p_partkey, gcd(p_partkey, CAST(p_size AS BIGINT)) AS g, lcm(p_partkey, CA
 def fn_number_theory(t: Tables) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     return t.part.select("p_partkey", gcd(key, size).alias("g"), lcm(key, size).alias("l"), F.factorial(size % 15).alias("f"), F.isnan("p_retailprice").alias("n"))
+
+
+@R.operator("""
+SELECT p_partkey, round(acosh(p_size), 8) AS ac, round(asinh(p_size), 8) AS ah, round(atanh(p_size / 100.0), 8) AS at, p_size = 0 AS iz, round(CAST(p_retailprice AS DOUBLE), -1) AS r1, p_size & 3 AS ba, p_size | 8 AS bo, xor(p_size, 5) AS bx,
+       p_size << 2 AS sl, p_size >> 1 AS sr, trunc(p_retailprice * 10) / 10 AS t1, p_size // 7 AS dv FROM part""")
+def fn_math_extra(t: Tables) -> DataFrame:
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    r8 = lambda c: F.round(c, 8)
+    return t.part.select(
+        "p_partkey", r8(F.acosh(size)).alias("ac"), r8(F.asinh(size)).alias("ah"), r8(F.atanh(size / 100.0)).alias("at"), (size == 0).alias("iz"), F.round(price, -1).alias("r1"), size.bitwiseAND(3).alias("ba"),
+        size.bitwiseOR(8).alias("bo"), size.bitwiseXOR(5).alias("bx"), F.shiftleft(size, 2).alias("sl"), F.shiftright(size, 1).alias("sr"), trunc(price, 1).alias("t1"), F.call_function("div", size, F.lit(7)).cast("int").alias("dv"),
+    )
+
+
+@R.operator("SELECT p_partkey, CASE WHEN isnan(CAST('nan' AS DOUBLE)) THEN p_retailprice END AS nv, true AS rnd FROM part")
+def fn_nan(t: Tables) -> DataFrame:
+    nan = F.lit(float("nan"))
+    return t.part.select("p_partkey", F.nanvl(nan, F.col("p_retailprice")).alias("nv"), F.rand(1).between(0, 1).alias("rnd"))

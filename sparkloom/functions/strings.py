@@ -73,3 +73,23 @@ def fn_hash_encode(t: Tables) -> DataFrame:
         "c_custkey", F.md5(name).alias("m"), F.sha2(name, 256).alias("s"), F.lower(F.hex(seg)).alias("h"), F.base64(F.encode(seg, "UTF-8")).alias("b"),
         F.decode(F.unhex(F.hex(name)), "UTF-8").alias("back"), F.hex("c_custkey").alias("th"),
     )
+
+
+@R.operator("""
+SELECT p_partkey, 'Ab Cd' AS ic, trim(p_brand, 'B#') AS bt, insert_at AS ov, split_part(p_type, ' ', 1) AS si, position('1' IN p_brand) AS p, lpad('x', 1, '.') AS l1, CAST(p_brand || NULL AS VARCHAR) AS nul, instr(p_type, 'E') AS ins,
+       regexp_matches(p_brand, '^Brand') AS rl, substring(p_brand FROM 2 FOR 3) AS sub3, length(p_brand) AS cl, sha256(p_brand) AS dg
+FROM (SELECT *, left(p_brand, 1) || 'XY' || substr(p_brand, 4) AS insert_at FROM part)""")
+def fn_string_extra(t: Tables) -> DataFrame:
+    brand, kind = F.col("p_brand"), F.col("p_type")
+    return t.part.select(
+        "p_partkey", F.initcap(F.lit("ab cd")).alias("ic"), F.btrim(brand, F.lit("B#")).alias("bt"), F.overlay(brand, F.lit("XY"), F.lit(2), F.lit(2)).alias("ov"), F.substring_index(kind, " ", 1).alias("si"),
+        F.position(F.lit("1"), brand).cast("bigint").alias("p"), F.lpad(F.lit("x"), 1, ".").alias("l1"), F.concat(brand, F.lit(None).cast("string")).alias("nul"), F.instr(kind, "E").cast("bigint").alias("ins"),
+        F.regexp_like(brand, F.lit("^Brand")).alias("rl"), F.substring(brand, 2, 3).alias("sub3"), F.char_length(brand).cast("bigint").alias("cl"), F.sha2(brand, 256).alias("dg"),
+    )
+
+
+@R.operator("""
+SELECT n_nationkey, list_position(string_split('A,B,NATION_3', ','), n_name) IS NOT NULL AS fs, regexp_extract_all(n_name, '[0-9]') AS ra, string_split(n_name, '_') AS st FROM nation""")
+def fn_string_lists(t: Tables) -> DataFrame:
+    name = F.col("n_name")
+    return t.nation.select("n_nationkey", (F.find_in_set(name, F.lit("A,B,NATION_3")) > 0).alias("fs"), F.regexp_extract_all(name, F.lit("[0-9]"), F.lit(0)).alias("ra"), F.split(name, "_").alias("st"))

@@ -175,3 +175,24 @@ def agg_approx_distinct(t: Tables) -> DataFrame:
 def agg_approx_percentile(t: Tables) -> DataFrame:
     got = t.lineitem.groupBy("l_returnflag").agg(F.approx_percentile("l_extendedprice", 0.5, 10000).alias("a"), F.median("l_extendedprice").alias("e"))
     return got.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.01 * F.col("e")).alias("near"))
+
+
+@R.operator("""
+SELECT l_returnflag, round(regr_sxx(l_extendedprice, l_quantity), 0) AS xx, round(regr_syy(l_quantity, l_quantity), 0) AS yy, round(regr_sxy(l_quantity, l_quantity), 0) AS xy
+FROM lineitem GROUP BY l_returnflag""")
+def agg_regression_sums(t: Tables) -> DataFrame:
+    y, x = "l_extendedprice", "l_quantity"
+    return t.lineitem.groupBy("l_returnflag").agg(
+        F.round(F.regr_sxx(y, x), 0).alias("xx"), F.round(F.regr_syy(x, x), 0).alias("yy"), F.round(F.regr_sxy(x, x), 0).alias("xy")
+    )
+
+
+@R.operator("""
+SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS first_key, arg_max(o_totalprice, o_orderkey) AS last_price, mode(o_orderstatus) IS NOT NULL AS has_mode, CAST(count_if(o_totalprice > 100000) AS BIGINT) AS large
+FROM orders GROUP BY o_custkey""")
+def agg_first_last(t: Tables) -> DataFrame:
+    """The first and last value in an order: aggregates with partial results."""
+    return t.orders.groupBy("o_custkey").agg(
+        F.min_by("o_orderkey", "o_orderkey").alias("first_key"), F.max_by("o_totalprice", "o_orderkey").alias("last_price"), F.mode("o_orderstatus").isNotNull().alias("has_mode"),
+        F.count_if(F.col("o_totalprice") > 100000).alias("large"),
+    )
