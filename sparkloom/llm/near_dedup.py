@@ -232,8 +232,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verify pairs (a, b, est) across classes, each node's best first, until none is left; the labels then."""
-    la, lb = "node AS a", "node AS b"
+    """Verify pairs (a, b, est) across classes, each node's best first, until none is left; the labels then.
+
+    The first round links most of what belongs together; what is still across classes then is verified in ever larger
+    portions, so the rounds are few.
+    """
+    la, lb, most = "node AS a", "node AS b", 2
     while True:
         cross = (
             open_pairs.join(labels.selectExpr(la, "comp AS ca"), "a").join(labels.selectExpr(lb, "comp AS cb"), "b").where("ca <> cb")
@@ -242,12 +246,13 @@ def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similar
             "ra": F.row_number().over(W.partitionBy("a").orderBy(F.desc("est"), "b")),
             "rb": F.row_number().over(W.partitionBy("b").orderBy(F.desc("est"), "a")),
         })
-        ranked = materialize(ranked.select("a", "b", "est", ((F.col("ra") <= 2) | (F.col("rb") <= 2)).alias("now")), "open-pairs")
+        ranked = materialize(ranked.select("a", "b", "est", ((F.col("ra") <= most) | (F.col("rb") <= most)).alias("now")), "open-pairs")
         now = ranked.where("now")
         if not now.limit(1).count():
             return labels
         links = materialize(_verified(now, texts, similarity), "verified")
         open_pairs = ranked.where("NOT now").select("a", "b", "est")
+        most *= 8
         if links.limit(1).count():
             labels = merged(labels, links)
 
