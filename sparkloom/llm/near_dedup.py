@@ -10,9 +10,9 @@ the Jaccard similarity of their sets is at least the threshold, and a class is a
 3. Candidates are cut down by the sizes of the sets (exact) and by a byte of each coordinate (five standard
    deviations below the threshold), then verified on whole texts, best first. Pairs inside a class that has already formed are
    skipped: they cannot change it.
-4. In buckets beyond BUCKET that still hold several classes, chunks of nodes are compared with each other by their
-   bytes, each node names its best partners in each other class, and verification goes on. The partners named grow fourfold
-   a round until every pair across classes has been named, so nothing is capped and no group is held by one task.
+4. In buckets beyond BUCKET that still hold several classes, chunks of nodes meet in one task each with their texts, and every
+   pair across classes that passes the filters is verified there; only links leave the task. Nothing is capped, and no
+   group is held by one task.
 
 Defined results: null text and text without words have no set and stand alone; copies are one class whatever their
 doc_ids; a class is named by its smallest doc_id (null only if all are null), and the row that has it, the first one of equal
@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 4
 #: Nodes of a bucket that names all its pairs.
 BUCKET = 32
 #: Nodes of a chunk when larger buckets are compared.
-CHUNK = 2048
+CHUNK = 4096
 
 _SIGNED = "doc_id long, set_a long, set_b long, n long, bands binary, sketch binary"
 
@@ -257,10 +257,11 @@ def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similar
             labels = merged(labels, links)
 
 
-def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
-    """Pairs (a, b, est) across classes within larger buckets; each node's `most` best in each other class and chunk.
+def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links (a, b) across classes within larger buckets; of all links between two classes, some that join them.
 
-    full tells whether a node had more of them.
+    A bucket's members are dealt into chunks, and each two chunks meet in one task with their texts. Every pair across
+    classes that the bytes let through is verified there, in the first bucket that its nodes share; links alone leave the task.
     """
     member = large.join(labels, "node")
     split = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -269,29 +270,46 @@ def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, least: float,
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp"
     )
-    rows = dealt.join(nodes.select("node", "sketch"), "node")
+    rows = dealt.join(nodes.select("node", "bands", "sketch").join(texts, "node"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
+        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         node, comp, own = (group.column(c).to_numpy() for c in ("node", "comp", "own"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found, full = [], False
-        for x in left:
-            y = right[comp[right] != comp[x]]
-            est = (sketch[y] == sketch[x]).mean(1)
-            y, est = y[est >= least], est[est >= least]
-            order = np.lexsort((-est, comp[y]))
-            y, est = y[order], est[order]
-            start = np.flatnonzero(np.diff(comp[y], prepend=np.iinfo(np.int64).min))
-            place = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
-            full = full or bool((place >= most).any())
-            found += [(min(node[x], node[b]), max(node[x], node[b]), e) for b, e in zip(y[place < most], est[place < most], strict=True)]
-        a, b, e = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "est": pa.array(e, pa.float64()), "full": pa.array([full] * len(a), pa.bool_())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, est double, full boolean")
+        comp = comp.copy()
+        sketch, bands = (np.frombuffer(b"".join(group.column(c).to_pylist()), t).reshape(len(node), -1) for c, t in (("sketch", np.uint8), ("bands", np.int64)))
+        band = int(np.argmax(bands[0] == key))
+        said = [t.encode() for t in group.column("text").to_pylist()]
+        sets: list[np.ndarray] = []
+        for a, b in bounded([len(t) for t in said], 1 << 20):
+            h, owner, _ = _shingles(said[a:b])
+            sets += np.split(h, np.searchsorted(owner, np.arange(1, b - a)))
+        size = np.array([len(x) for x in sets])
+        sides = (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        found = []
+        classes, counts = np.unique(comp, return_counts=True)
+        largest = comp == classes[np.argmax(counts)]  # as it was when the task began
+        for one, other in (sides, sides[::-1])[: 1 + (i != j)]:
+            for x in one:
+                if largest[x]:
+                    continue  # its pairs are met from their other end
+                y = other[comp[other] != comp[x]]
+                y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
+                y = y[(sketch[y] == sketch[x]).mean(1) >= least]
+                y = y[np.argmax(bands[y] == bands[x], 1) == band]
+                if not len(y):
+                    continue
+                every = np.concatenate([sets[k] for k in y])
+                at = np.minimum(np.searchsorted(sets[x], every), size[x] - 1)
+                both = np.add.reduceat((sets[x][at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(size[y])[:-1])))
+                linked = y[both >= similarity * (size[y] + size[x] - both)]
+                for c, k in zip(*np.unique(comp[linked], return_index=True), strict=True):
+                    found.append((min(node[x], node[linked[k]]), max(node[x], node[linked[k]])))
+                    comp[comp == c] = comp[x]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -318,18 +336,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
     texts = _texts(docs, nodes.join(labels.select("node"), "node").select("node", "doc_id", "set_a", "set_b"))
     labels = _resolve(near, labels, texts, similarity)
     if large.limit(1).count():
-        tested, most = near.select("a", "b"), 2
-        while True:
-            # A pair of equal sketches may pass the bucket's hub by and still link two classes.
-            named = materialize(_across(large, labels, nodes, least, most).groupBy("a", "b").agg(F.max("est").alias("est"), F.max("full").alias("full")), "across")
-            fresh = materialize(_sized(named.join(tested, ["a", "b"], "left_anti"), nodes, similarity), "fresh-pairs")
-            some, full = fresh.limit(1).count(), named.where("full").limit(1).count()
-            if some:
-                labels = _resolve(fresh.select("a", "b", "est"), labels, texts, similarity)
-                tested = materialize(tested.unionByName(fresh.select("a", "b")), "tested")
-            if not some and not full:
-                break
-            most *= 4
+        links = materialize(_across(large, labels, nodes, texts, least, similarity), "across")
+        if links.limit(1).count():
+            labels = merged(labels, links)
     placed = members.join(labels, "node", "left").select("uid", "doc_id", F.coalesce("comp", "node").alias("comp"), *held)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
     classes = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
@@ -339,10 +348,5 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool
     )
 
 
-def _sized(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    sized = pairs.join(nodes.selectExpr("node AS a", "n AS na"), "a").join(nodes.selectExpr("node AS b", "n AS nb"), "b")
-    return sized.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).drop("na", "nb")
-
-
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
