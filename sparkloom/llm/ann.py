@@ -4,8 +4,11 @@ A table rotates unit vectors by three rounds of random signs and a fast Hadamard
 signed axis. Rows are stored once a table; a query probes, in each table, the signed axes nearest to itself, and all rows
 found are reranked by exact inner products in double precision.
 
-If norms differ, rows get one more coordinate that makes them equally long, so the nearest by angle is the largest inner
-product. A bucket of any size is split into chunks of rows that meet the bucket's queries one by one, so many equal vectors
+Only directions are hashed. Rows are also divided into bands of nearly equal norms, and for each query and band the k-th score
+found so far tells the least cosine at which a row of the band could still belong to the `k` best. Where the probed buckets may
+miss rows of that cosine (MISSED), and always where fewer than `k` were found, the query meets all rows of the band, in blocks.
+
+A bucket or band of any size is split into chunks of rows that meet its queries one by one, so many equal vectors
 neither crowd a task nor leave any out. What is nearest within a chunk is a query's `k` best there; nothing else is cut.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
@@ -27,8 +30,13 @@ from .common import blocks_for, materialize, table
 #: Tables, and signed axes that a query probes in each, as a share of all. On uniformly random vectors of 64 dimensions, the
 #: hardest case, these find 0.99 of the 20 nearest among 50,000 and 0.97 among 2,000.
 TABLES, PROBED = 8, 1 / 8
-#: Rows of a bucket that meet its queries at once.
-CHUNK = 8192
+#: The share of rows of some cosine to a query that its probed buckets may miss; below that cosine, bands are scanned.
+MISSED = 0.01
+#: Rows of a bucket, or of a scanned band, that meet its queries at once; queries that go to a scanned chunk in one piece.
+CHUNK, SCANNED, ASKED = 8192, 2048, 256
+
+#: What is nearest to a query within a chunk.
+FOUND = "query_id long, ids binary, scores binary"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -42,9 +50,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    def __init__(self, dims: int, top: float, lifted: bool, tables: int = TABLES, probed: float = PROBED, seed: int = 11):
-        self.dims, self.top, self.lifted, self.tables = dims, top, lifted, tables
-        self.axes = 1 << max(1, int(dims + lifted - 1).bit_length())
+    def __init__(self, dims: int, tables: int = TABLES, probed: float = PROBED, seed: int = 11):
+        self.dims, self.tables = dims, tables
+        self.axes = 1 << max(1, int(dims - 1).bit_length())
         self.probes = min(2 * self.axes, max(1, round(2 * self.axes * probed)))
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.axes))
 
@@ -53,18 +61,14 @@ class CrossPolytope:
             x = hadamard(x * signs)
         return x
 
-    def _padded(self, x: np.ndarray, query: bool) -> np.ndarray:
+    def _padded(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.axes))
         out[:, : self.dims] = x
-        if query or not self.lifted:
-            return out / np.linalg.norm(x, axis=1, keepdims=True)
-        out /= self.top
-        out[:, self.dims] = np.sqrt(np.maximum(1 - (out * out).sum(1), 0))
-        return out
+        return out / np.linalg.norm(x, axis=1, keepdims=True)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables): the bucket of each row in each table."""
-        x, out = self._padded(x, False), []
+        x, out = self._padded(x), []
         for t in range(self.tables):
             y = self._turned(x, t)
             axis = np.abs(y).argmax(1)
@@ -73,13 +77,28 @@ class CrossPolytope:
 
     def probed(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables * probes): the buckets that each query looks into."""
-        x, out = self._padded(x, True), []
+        x, out = self._padded(x), []
         for t in range(self.tables):
             y = self._turned(x, t)
             both = np.concatenate((y, -y), 1)
             out.append(2 * self.axes * t + np.argpartition(-both, self.probes - 1, 1)[:, : self.probes])
         return np.concatenate(out, 1)
 
+    def safe(self, missed: float = MISSED, pairs: int = 1000) -> float:
+        """The least cosine from which on no more than that share of rows is missed by the probed buckets, on random pairs; 1 if there is none."""
+        rng, least = np.random.default_rng(5), 1.0
+        for cosine in np.arange(0.95, 0, -0.05):
+            q, u = rng.normal(size=(2, pairs, self.dims))
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            u -= (u * q).sum(1, keepdims=True) * q
+            u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+            row, looked = self.buckets(cosine * q + np.sqrt(1 - cosine * cosine) * u), self.probed(q)
+            met = (row[:, :, None] == looked.reshape(pairs, self.tables, -1)).any((1, 2))
+            if (~met).mean() > missed:
+                break
+            least = float(cosine)
+        return least
+
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
@@ -114,15 +133,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
     )
     own = own.where(finite).withColumn("square", square).where((F.col("square") > 0) & (F.col("square") < float("inf")))
     kinds = own.groupBy(F.size("embedding").alias("dims")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("square").alias("lo"), F.max("square").alias("hi"), F.count_if("asks").alias("asking")
+        F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")
     )
     kind = kinds.orderBy(F.desc("n"), "dims").first()
     if kind is None:
         return spark.createDataFrame([], schema)
     dims = kind["dims"]
     every = kind["n"] <= 4 * k
-    model = CrossPolytope(dims, kind["hi"] ** 0.5, kind["lo"] < kind["hi"] * (1 - 1e-5), tables, 1.0 if every else probed)
-    rows = own.where(F.size("embedding") == dims).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"), "asks")
+    model = CrossPolytope(dims, tables, 1.0 if every else probed)
+    band = F.floor(4 * F.log2("square")).cast("int").alias("band")  # an eighth of an octave of norms
+    rows = own.where(F.size("embedding") == dims).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"), "asks", band, "square")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,25 +166,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
     stored = sized.where("NOT asks").select("bucket", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v").toDF("bucket", "chunk", "vec_id", "v")
     asked = sized.where("asks").select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v").toDF("bucket", "chunk", "vec_id", "v")
 
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+    def lists(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> pa.Table:
         out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            ids, x = left.column("vec_id").to_numpy(), _vectors(left.column("v"), dims)
-            for query, vector in zip(right.column("vec_id").to_pylist(), _vectors(right.column("v"), dims), strict=True):
-                near, score = _best(vector, x, ids, query, k)
-                out.append((query, near.tobytes(), score.tobytes()))
+        for query, vector in queries:
+            near, score = _best(vector, x, ids, query, k)
+            out.append((query, near.tobytes(), score.tobytes()))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "ids": pa.array(columns[1], pa.binary()), "scores": pa.array(columns[2], pa.binary())})
 
-    found = stored.groupBy("bucket", "chunk").cogroup(asked.groupBy("bucket", "chunk")).applyInArrow(rerank, "query_id long, ids binary, scores binary")
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return lists(np.zeros(0, np.int64), np.zeros((0, dims)), [])
+        asking = list(zip(right.column("vec_id").to_pylist(), _vectors(right.column("v"), dims), strict=True))
+        return lists(left.column("vec_id").to_numpy(), _vectors(left.column("v"), dims), asking)
+
+    found = stored.groupBy("bucket", "chunk").cogroup(asked.groupBy("bucket", "chunk")).applyInArrow(rerank, FOUND)
     groups = blocks_for(kind["asking"], 256)
 
     def merge(group: pa.Table) -> pa.Table:
-        lists: dict[int, list] = {}
+        parts_of: dict[int, list] = {}
         for query, ids, scores in zip(*(group.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
-            lists.setdefault(query, []).append((np.frombuffer(ids, np.int64), np.frombuffer(scores)))
+            parts_of.setdefault(query, []).append((np.frombuffer(ids, np.int64), np.frombuffer(scores)))
         out = [[], [], [], []]
-        for query, parts in lists.items():
+        for query, parts in parts_of.items():
             ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((ids, -scores))
             order = order[_first_seen(ids[order])][:k]
@@ -173,8 +197,58 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
         full = [np.concatenate(x) if x else [] for x in out]
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "rank", "vec_id", "score"), full, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)})
 
-    keyed = found.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    return keyed.groupBy("g").applyInArrow(merge, schema)
+    def merged(found: DataFrame) -> DataFrame:
+        return found.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInArrow(merge, schema)
+
+    first = materialize(merged(found), "nearest-in-buckets")
+    reached = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
+    asking = rows.where("asks").dropDuplicates(["vec_id", "v"]).join(reached, "vec_id", "left")
+    asking = asking.select("vec_id", "v", (F.coalesce("reached", F.lit(float("-inf"))) / F.sqrt("square")).alias("reached"))
+    least = asking.agg(F.min("reached")).first()[0]
+    # One row a band: as many as a double's exponents allow, whatever the number of vectors.
+    bands = rows.groupBy("band").agg(F.max("square").alias("square"), F.count(F.lit(1)).alias("n")).collect()
+    safe = model.safe() * (1 + 1e-9)  # and ties
+    unsafe = [(r["band"], safe * r["square"] ** 0.5, blocks_for(r["n"], SCANNED)) for r in bands if least is not None and least <= safe * r["square"] ** 0.5]
+    if not unsafe:
+        return first
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ASKED):
+                part = batch.slice(a, ASKED)
+                ids, x, reach = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dims), part.column(2).to_numpy()
+                for band, limit, chunks in unsafe:
+                    if (mine := reach <= limit).any():
+                        packed = [ids[mine].tobytes()], [x[mine].tobytes()]
+                        for chunk in range(chunks):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([band], pa.int32()), pa.array([chunk], pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], ["band", "chunk", "ids", "v"]
+                            )
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return lists(np.zeros(0, np.int64), np.zeros((0, dims)), [])
+        numbers = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int64).tolist()
+        return lists(left.column("vec_id").to_numpy(), _vectors(left.column("v"), dims), list(zip(numbers, _vectors(right.column("v"), dims), strict=True)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                x = part.column(3).flatten().to_numpy().reshape(-1, dims)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([v.tobytes() for v in x], pa.binary())], ["band", "chunk", "vec_id", "v"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = ([v.tobytes() for v in batch.column(c).to_numpy()] for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["query_id", "ids", "scores"])
+
+    sizes = F.broadcast(spark.createDataFrame([(band, chunks) for band, _, chunks in unsafe], "band int, chunks int"))
+    held = rows.join(sizes, "band").select("band", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v")
+    held = held.mapInArrow(packed, "band int, chunk int, vec_id long, v binary")
+    asks = asking.mapInArrow(ask, "band int, chunk int, ids binary, v binary")
+    scanned = held.groupBy("band", "chunk").cogroup(asks.groupBy("band", "chunk")).applyInArrow(scan, FOUND)
+    return merged(first.select("query_id", "vec_id", "score").mapInArrow(single, FOUND).unionByName(scanned))
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

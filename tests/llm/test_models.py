@@ -64,6 +64,37 @@ def test_neighbours(spark, sf_dir):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 20).collect() == []
 
 
+def neighbours_recall(spark, ids, x, k=20, every=20):
+    """The share of the exact neighbours' scores that op4_ann's operator reaches, and the fewest rows of a query; rows of equal id count once."""
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    by = defaultdict(dict)
+    for r in ann.nearest(rows, F.col("vec_id") % every == 0, k).collect():
+        by[r.query_id][r.vec_id] = r.score
+    hit = total = 0
+    for q in (i for i in range(len(ids)) if ids[i] % every == 0):
+        best = {}
+        for i, s in zip(ids, x @ x[q], strict=True):
+            if i != ids[q]:
+                best[i] = max(s, best.get(i, -np.inf))
+        want = sorted(best.values(), reverse=True)[:k]
+        total += len(want)
+        hit += sum(s >= want[-1] - 1e-9 for s in by[ids[q]].values())
+    return hit / total, min(len(by[i]) for i in ids if i % every == 0)
+
+
+def test_neighbours_of_unequal_norms_and_in_crowds(spark):
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    one = unit.copy()
+    one[7] *= 10
+    crowd = unit.copy()
+    crowd[:1000] = crowd[0] + 1e-3 * crowd[:1000]
+    for x in (one, unit * np.exp(rng.normal(size=(2000, 1))), crowd, unit[:, :2]):
+        recall, fewest = neighbours_recall(spark, np.arange(len(x)), x)
+        assert recall >= 0.98 and fewest == 20
+
+
 @given(st.text())
 @settings(max_examples=200, deadline=None)
 def test_escapes(text):
