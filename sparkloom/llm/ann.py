@@ -104,19 +104,29 @@ def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def _best(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of rows; each inner product is summed in the order of components, so equal vectors score equally."""
-    rough = rows @ query
-    rough[ids == own] = -np.inf
-    if len(rough) > k:
-        edge = np.partition(rough, -k)[-k]
-        near = np.flatnonzero((rough >= edge - 1e-9 * (1 + abs(edge))) & (rough > -np.inf)) if np.isfinite(edge) else np.flatnonzero(rough > -np.inf)
-    else:
-        near = np.flatnonzero(rough > -np.inf)
-    score = np.cumsum(rows[near] * query, 1)[:, -1] if len(near) else np.zeros(0)
-    order = np.lexsort((ids[near], -score))
-    order = order[_first_seen(ids[near][order])][:k]
-    return ids[near][order], score[order]
+class Chunk:
+    """Rows in the order of their ids."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], x[order]
+        self.kinds, self.starts, self.counts = np.unique(self.ids, return_index=True, return_counts=True)
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest ids, each with its best row; each inner product is summed in the order of components, so equal vectors score equally."""
+        if not len(self.ids):
+            return self.ids, np.zeros(0)
+        rough = self.x @ query
+        best = np.maximum.reduceat(rough, self.starts)
+        best[self.kinds == own] = -np.inf
+        edge = np.partition(best, -k)[-k] if len(best) > k else -np.inf
+        least = edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else -np.inf
+        top = np.where((best >= least) & (best > -np.inf), best - 1e-9 * (1 + np.abs(best)), np.inf)
+        near = np.flatnonzero(rough >= np.repeat(top, self.counts))
+        score = np.cumsum(self.x[near] * query, 1)[:, -1] if len(near) else np.zeros(0)
+        order = np.lexsort((self.ids[near], -score))
+        order = order[_first_seen(self.ids[near][order])][:k]
+        return self.ids[near][order], score[order]
 
 
 def _first_seen(ids: np.ndarray) -> np.ndarray:
@@ -167,9 +177,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
     asked = sized.where("asks").select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v").toDF("bucket", "chunk", "vec_id", "v")
 
     def lists(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> pa.Table:
-        out: list[tuple] = []
+        out, chunk = [], Chunk(ids, x)
         for query, vector in queries:
-            near, score = _best(vector, x, ids, query, k)
+            near, score = chunk.best(vector, query, k)
             out.append((query, near.tobytes(), score.tobytes()))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "ids": pa.array(columns[1], pa.binary()), "scores": pa.array(columns[2], pa.binary())})

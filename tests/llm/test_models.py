@@ -95,6 +95,16 @@ def test_neighbours_of_unequal_norms_and_in_crowds(spark):
         assert recall >= 0.98 and fewest == 20
 
 
+def test_neighbours_behind_an_id_of_many_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    ids = np.arange(400)
+    ids[200:] = 7  # half of all rows
+    x[200:] = x[0] * 2 + 0.1 * x[200:]
+    ids[150:200], x[150:200] = 9, x[0]  # repeated rows
+    assert neighbours_recall(spark, ids, x) == (1.0, 20)
+
+
 @given(st.text())
 @settings(max_examples=200, deadline=None)
 def test_escapes(text):
