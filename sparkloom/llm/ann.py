@@ -13,7 +13,8 @@ neither crowd a task nor leave any out. What is nearest within a chunk is a quer
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
 length than most vectors, nor rows without vec_id; rows of equal vec_id count once, with their best score; a table without
-rows gives none; other columns are not read. With k candidates or fewer in all, every one is returned (all axes are probed then).
+rows gives none; other columns are not read. With k candidates or fewer in all, every one is returned. The rules are the same
+at every size of the table.
 """
 
 from __future__ import annotations
@@ -149,8 +150,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
     if kind is None:
         return spark.createDataFrame([], schema)
     dims = kind["dims"]
-    every = kind["n"] <= 4 * k
-    model = CrossPolytope(dims, tables, 1.0 if every else probed)
+    model = CrossPolytope(dims, tables, probed)
     band = F.floor(4 * F.log2("square")).cast("int").alias("band")  # an eighth of an octave of norms
     rows = own.where(F.size("embedding") == dims).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"), "asks", band, "square")
 

@@ -105,6 +105,14 @@ def test_neighbours_behind_an_id_of_many_rows(spark):
     assert neighbours_recall(spark, ids, x) == (1.0, 20)
 
 
+def test_neighbours_of_small_tables(spark):
+    x = np.random.default_rng(6).normal(size=(101, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (15, 80, 81, 101):
+        recall, fewest = neighbours_recall(spark, np.arange(n), x[:n], every=5)
+        assert recall >= 0.98 and fewest == min(20, n - 1)
+
+
 @given(st.text())
 @settings(max_examples=200, deadline=None)
 def test_escapes(text):
