@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import work_folder
 from .base import Registry, Tables
 
 R = Registry()
@@ -16,6 +17,23 @@ def ranked(df: DataFrame, *order, name: str = "place") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint"))
 
 
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """An ordered frame of any size with each row's place: its place in its range partition after the rows of those before.
+
+    The sorted rows are written once, so that both passes see the same partitions; no task holds more than one of them.
+    """
+    spark, path = ordered.sparkSession, work_folder(ordered.sparkSession, "numbered")
+    marked = ordered.withColumn("_at", F.monotonically_increasing_id())
+    marked.write.parquet(path)
+    held, partition, before, rows = spark.read.schema(marked.schema).parquet(path), F.shiftright("_at", 33), [], 0
+    for r in held.groupBy(partition.alias("p")).count().orderBy("p").collect():
+        before.append((r["p"], rows))
+        rows += r["count"]
+    starts = F.broadcast(spark.createDataFrame(before, "_partition long, _before long"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return held.join(starts, partition == F.col("_partition")).select(*ordered.columns, place.alias(name))
+
+
 @R.operator("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey LIMIT 500")
 def order_multi_key(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_mktsegment", "c_acctbal").orderBy(
@@ -46,3 +64,19 @@ def limit_offset(t: Tables) -> DataFrame:
 @R.operator("SELECT n_name, row_number() OVER (ORDER BY n_regionkey DESC, n_name) AS place FROM nation")
 def order_places(t: Tables) -> DataFrame:
     return ranked(t.nation, F.desc("n_regionkey"), "n_name").select("n_name", "place")
+
+
+@R.operator("SELECT c_custkey, c_mktsegment, c_acctbal, row_number() OVER (ORDER BY c_mktsegment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey) AS place FROM customer")
+def order_multi_key_whole(t: Tables) -> DataFrame:
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    return numbered(rows.orderBy(F.asc_nulls_last("c_mktsegment"), F.desc_nulls_first("c_acctbal"), "c_custkey"))
+
+
+@R.operator("SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') ASC NULLS FIRST, o_orderkey) AS place FROM orders")
+def order_nulls_first_whole(t: Tables) -> DataFrame:
+    return numbered(t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s")).orderBy(F.asc_nulls_first("s"), "o_orderkey"))
+
+
+@R.operator("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS place FROM orders")
+def order_nulls_last_whole(t: Tables) -> DataFrame:
+    return numbered(t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s")).orderBy(F.desc_nulls_last("s"), "o_orderkey"))

@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 
-from sparkloom.operators import registry
+from sparkloom.operators import ordering, registry
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +42,17 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = registry.queries()["filter_range_between"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "l_comment" not in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double>" in plan
+
+
+def test_sorts_return_whole_tables_with_nulls_in_place(spark, sf_dir):
+    folder = sf_dir.replace("0.001", "0.01")
+    for name, source in (("order_multi_key_whole", "customer"), ("order_nulls_first_whole", "orders"), ("order_nulls_last_whole", "orders")):
+        got = registry.queries()[name](spark, folder).toPandas().sort_values("place")
+        assert got.place.tolist() == list(range(1, spark.read.parquet(f"{folder}/{source}.parquet").count() + 1))
+        if "nulls" in name:
+            null = got.s.isna().tolist()
+            assert 0 < sum(null) < len(null) and null == sorted(null, reverse="first" in name)
+
+
+def test_numbered_empty(spark):
+    assert ordering.numbered(spark.createDataFrame([], "a long").orderBy("a")).collect() == []
