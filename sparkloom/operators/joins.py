@@ -50,6 +50,12 @@ def join_full_outer(t: Tables) -> DataFrame:
     return t.supplier.where("s_suppkey < 60").join(c, F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
 
 
+@R.operator("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_acctbal < c_acctbal")
+def join_full_outer_whole(t: Tables) -> DataFrame:
+    on = (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_acctbal") < F.col("c_acctbal"))
+    return t.supplier.join(t.customer, on, "full").select("s_suppkey", "c_custkey")
+
+
 @R.operator("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 300000)")
 def join_semi_in(t: Tables) -> DataFrame:
     large = t.orders.where("o_totalprice >= 300000")

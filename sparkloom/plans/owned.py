@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.base import Registry, Tables
+from ..operators.ordering import numbered
 from ..session import work_folder
 from ..sql.engine import Engine
 from ..sql.pseudonyms import digest_column, digest_sql
@@ -115,3 +116,9 @@ def sql_prepared(t: Tables) -> DataFrame:
 @R.operator("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') DESC NULLS FIRST, o_orderkey) AS place FROM orders WHERE o_orderkey < 500")
 def sql_null_order(t: Tables) -> DataFrame:
     return engine(t, "orders").query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') DESC, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderkey < 500")
+
+
+@R.operator("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') DESC NULLS FIRST, o_orderkey) AS place FROM orders")
+def sql_null_order_whole(t: Tables) -> DataFrame:
+    ordered = engine(t, "orders").query("SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s DESC, o_orderkey")
+    return numbered(ordered).select("o_orderkey", "place")

@@ -56,3 +56,11 @@ def test_sorts_return_whole_tables_with_nulls_in_place(spark, sf_dir):
 
 def test_numbered_empty(spark):
     assert ordering.numbered(spark.createDataFrame([], "a long").orderBy("a")).collect() == []
+
+
+def test_null_order_and_full_join_cover_whole_tables(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    assert registry.queries()["sql_null_order_whole"](spark, sf_dir).count() == read("orders")
+    got = registry.queries()["join_full_outer_whole"](spark, sf_dir).toPandas()
+    assert got.s_suppkey.nunique() == read("supplier") and got.c_custkey.nunique() == read("customer")
+    assert got.s_suppkey.isna().any() and got.c_custkey.isna().any() and got.dropna().shape[0] > 0
