@@ -1,4 +1,4 @@
-"""Documents dealt into blocks by a hash of their id, packed and compressed before the exchange.
+"""Documents in blocks as they lie in their files, packed and compressed before the exchange.
 
 Several operators need a block's documents more than once: to tell the rest of the corpus what is in them, and
 again when the answers have come back. The packed exchange is built once and reused by every later stage of the
@@ -11,11 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a block holds on average.
+from .common import file_rows, lean
+
+#: Bytes of text that a block holds at most, but for a longer text, which stands alone.
 BLOCK_BYTES = 12 << 20
 
 _OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
@@ -34,37 +38,40 @@ def unpack(packs: pa.ChunkedArray) -> pa.Table | None:
     return pa.concat_tables(tables) if tables else None
 
 
-def pack_blocks(docs: DataFrame, blocks: int, carry: tuple[str, ...] = (), flush_bytes: int = 64 << 20) -> DataFrame:
-    """(block, pack) rows of docs (doc_id, text, carry): a task packs what it has read once flush_bytes are gathered."""
+def pack_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, pack) rows of docs (doc_id, text, carry): a block is what a task reads next, up to BLOCK_BYTES of text.
+
+    Rows are dealt as they lie in their files, whatever their doc_ids, and a task that runs again makes the same blocks.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            rows = pa.Table.from_batches(held)
-            block = rows.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = rows.take(pa.array(order[a:b])).drop_columns("block").combine_chunks()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block[order[a]]], pa.int32()), "pack": pa.array([_pack(part)], pa.binary())})
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= flush_bytes:
-                yield from flush()
-                held, size = [], 0
-        if any(b.num_rows for b in held):
-            yield from flush()
-
-    keyed = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.col("doc_id").cast("long"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        *(F.col(c).alias(f"_carry_{c}") for c in carry),
+        lean()
+        for block, rows in block_batches(batches):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "pack": pa.array([_pack(rows)], pa.binary())})
+
+    rows = file_rows(docs, ("doc_id", "text", *carry)).select(
+        F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry_{c}") for c in carry)
     )
-    return keyed.mapInArrow(pack, "block int, pack binary")
+    return rows.mapInArrow(pack, "block long, pack binary")
+
+
+def block_batches(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[tuple[int, pa.Table]]:
+    """The blocks of a task: their numbers and rows. The second column is the one whose bytes count."""
+    most, first, count, held, size = most or BLOCK_BYTES, TaskContext.get().partitionId() << 32, 0, [], 0
+    for batch in batches:
+        nbytes = pc.binary_length(batch.column(1)).to_pylist() if pa.types.is_string(batch.column(1).type) else [batch.nbytes // max(1, batch.num_rows)] * batch.num_rows
+        start = 0
+        for i, n in enumerate(nbytes):
+            if size and size + n > most:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield first + count, pa.Table.from_batches(held)
+                start, count, held, size = i, count + 1, [], 0
+            size += n + 1
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield first + count, pa.Table.from_batches(held)
 
 
 def squeeze(array: np.ndarray) -> bytes:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,29 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch and of a batch that the Parquet reader decodes: texts may be long, so both hold few.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is decoded and handed to Python at once; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+
+
+def lean() -> None:
+    """In a Python worker: let freed memory go back to the system, as many workers share a machine's memory."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-8, 1)  # one arena
+        libc.mallopt(-3, 4 << 20)  # larger blocks are mapped, so they go when freed
+        libc.mallopt(-1, 16 << 20)  # free memory at the heap's end beyond this goes
+    except OSError:  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,9 +82,34 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(docs: DataFrame, col: str = "text") -> int:
-    """Bytes of text in all rows, for choosing a number of blocks."""
-    return int(docs.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0)
+#: The columns that placed() adds.
+PLACE = ("_file", "_row")
+
+
+def file_rows(docs: DataFrame, columns: tuple[str, ...], place: bool = False) -> DataFrame:
+    """The columns of docs from files: what is no scan of files is written first, so every scan gives the same rows in the same order."""
+    own = docs.select(*columns)
+    added = (F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    try:
+        found = own.select(*columns, *added)
+    except AnalysisException:
+        own = materialize(own, "docs")
+        found = own.select(*columns, *added)
+    return found if place else own
+
+
+def placed(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of docs with the place of each row (file and row in it), which stays the same in every scan.
+
+    So rows that share a doc_id, or have none, are told apart and spread evenly.
+    """
+    return file_rows(docs, columns, True)
+
+
+def source_bytes(docs: DataFrame) -> int:
+    """The size of the files under docs, a scan of files, as the planner knows it, without reading any."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def blocks_for(total: int, each: int, least: int = 1) -> int:

@@ -1,8 +1,8 @@
 """Elias-Fano code of a non-decreasing sequence: about 2 + log2(last / n) bits a number, with random access.
 
 The low bits of each number stand packed one after another; the high parts stand in unary, number i as a one at
-position high(i) + i. select(i) finds the i-th one: every SAMPLE-th one's place is kept, and the bits behind it are
-searched.
+position high(i) + i. select(i) finds the i-th one: every SAMPLE-th one's place is kept, and the bytes behind it are
+counted.
 """
 
 from __future__ import annotations
@@ -12,6 +12,13 @@ import struct
 import numpy as np
 
 SAMPLE = 256
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Ones of each byte, and the place of its k-th one.
+_ONES = _BITS.sum(1)
+_NTH = np.zeros((256, 8), np.int64)
+for _byte, _bits in enumerate(_BITS):
+    _NTH[_byte, : _ONES[_byte]] = np.flatnonzero(_bits)
 _HEAD = struct.Struct("<QQB")
 
 
@@ -44,33 +51,38 @@ class EliasFano:
         raw = np.frombuffer(data, np.uint8)
         return cls(n, last, low_bits, raw[b:c], raw[c:], np.frombuffer(data[a:b], "<u4"))
 
-    def _low(self, i: int) -> int:
-        at, value = i * self.low_bits, 0
-        if self.low_bits:
-            word = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes(), "little")
-            value = (word >> (at & 7)) & ((1 << self.low_bits) - 1)
-        return value
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of numbers i."""
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        bit = i[:, None] * self.low_bits + np.arange(self.low_bits)
+        return (((self.low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(1)
+
+    def select(self, i):
+        """Number i of the sequence, or numbers i for an array of places.
 
-    def select(self, i: int) -> int:
-        """Number i of the sequence."""
-        if not 0 <= i < self.n:
+        From the sampled one before it, whole bytes of the high bits are passed by their counts of ones, and a table tells the
+        place within the byte.
+        """
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        if len(at) and (at.min() < 0 or at.max() >= self.n):
             raise IndexError(i)
-        left = i % SAMPLE
-        byte = int(self.samples[i // SAMPLE]) >> 3
-        left += int(self.high[byte] & ((1 << (int(self.samples[i // SAMPLE]) & 7)) - 1)).bit_count()
-        while (ones := int(self.high[byte]).bit_count()) <= left:
-            left -= ones
-            byte += 1
-        rest = int(self.high[byte])
-        for _ in range(left):
-            rest &= rest - 1
-        return ((8 * byte + (rest & -rest).bit_length() - 1 - i) << self.low_bits) | self._low(i)
+        out = np.empty(len(at), np.int64)
+        for a in range(0, len(at), 1 << 16):
+            out[a : a + (1 << 16)] = self._select(at[a : a + (1 << 16)])
+        return int(out[0]) if np.ndim(i) == 0 else out
 
-    def all(self) -> np.ndarray:
-        """The whole sequence."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    def _select(self, at: np.ndarray) -> np.ndarray:
+        sample = self.samples[at // SAMPLE].astype(np.int64)
+        first, last = int(sample.min()) >> 3, len(self.high)
+        beyond = int(at.max()) // SAMPLE + 1
+        if beyond < len(self.samples):
+            last = (int(self.samples[beyond]) >> 3) + 1
+        ones = np.concatenate(([0], np.cumsum(_ONES[self.high[first:last]], dtype=np.int64)))  # before each byte
+        # Ones before the first byte: those before the first sample less those that share its byte.
+        low = int(at.min()) // SAMPLE
+        inside = int(self.high[first] & ((1 << (int(self.samples[low]) & 7)) - 1)).bit_count()
+        rank = at - (low * SAMPLE - inside)
+        byte = np.searchsorted(ones, rank, "right") - 1
+        place = _NTH[self.high[first + byte], rank - ones[byte]]
+        return ((8 * (first + byte) + place - at) << self.low_bits) | self._lows(at)

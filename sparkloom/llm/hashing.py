@@ -44,10 +44,15 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, np.uint64), start, end
+    return spans(raw, start, end), start, end
+
+
+def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from each start to its end."""
     up, down = powers(BYTE_BASE, len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def runs(word: np.ndarray, length: int, which: int = 0) -> np.ndarray:

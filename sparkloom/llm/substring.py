@@ -7,14 +7,14 @@ Positions are covered modulo PERIOD by a difference cover: for any two positions
 that moves both onto cover positions. So two equal windows share an aligned anchor, the hash of the
 WINDOW - PERIOD + 1 words at that shift, though only 6 of 31 positions are ever hashed. Then
 
-1. each block of documents names the anchors it holds, once each, dealt by hash; those that occur in a single
-   document of the corpus are told apart from the rest, and one bit for each anchor returns;
+1. each block of documents, as they lie in their files, names the anchors it holds as rows, once each; the numbers of those that
+   occur in a single document of the corpus only stay out of what returns;
 2. anchors that occur elsewhere extend to the windows around them: only these windows are hashed in full (128 bits),
    and each block names each of them once with the smallest doc_id it has;
-3. one bit for each window returns: does a smaller doc_id hold it elsewhere?
+3. the numbers of the windows that a smaller doc_id holds elsewhere return.
 
-No pair of documents is ever formed, so a group of any number of copies costs what its documents cost, and a passage of
-a third of all documents is named once by each block.
+No pair of documents is ever formed, and rows that travel grow with the anchors and windows: a group of any number of copies costs
+what its documents cost, and a passage of a third of all documents is named once by each block.
 
 Defined results: null text has no words; rows with equal doc_id are not smaller than each other; a null doc_id is
 larger than every number; a document of fewer than WINDOW words keeps them all; a table without rows gives none; other
@@ -29,10 +29,12 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import BLOCK_BYTES, bounded, expand, expand_bits, pack_blocks, squeeze, squeeze_bits, unpack
-from .common import blocks_for, table, text_bytes
+from .blocks import bounded, pack_blocks, unpack
+from .common import table
 from .hashing import runs, words
 
 WINDOW = 50
@@ -41,7 +43,6 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 _NO_ID = np.iinfo(np.int64).max
-_BITS = "block int, part int, bits binary"
 _WIDE = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -94,12 +95,6 @@ def _first_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
 
 
-def _cuts(high: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted hashes pass from one part to the next; part p has the p-th share of all 64-bit numbers."""
-    limits = [(p << 64) // parts for p in range(1, parts)]
-    return np.concatenate(([0], np.searchsorted(high, np.array(limits, np.uint64)), [len(high)])).astype(np.int64)
-
-
 def _block_anchors(block: _Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a block, sorted, and whether several of its documents hold one."""
     hashes, docs = [], []
@@ -147,18 +142,9 @@ def _sorted_windows(wide: np.ndarray, ids: np.ndarray):
     return wide[at], ids[at]
 
 
-def _answers(table_: pa.Table, parts: int, cuts: np.ndarray) -> np.ndarray:
-    """The bits that have come back to a block, in the order of its sorted list."""
-    flags = np.zeros(int(cuts[-1]), bool)
-    for part, bits in zip(table_.column("part").to_pylist(), table_.column("bits"), strict=True):
-        a, b = cuts[part], cuts[part + 1]
-        flags[a:b] = expand_bits(bits.as_py(), b - a)
-    return flags
-
-
-def _shared_anchors(block: _Block, bits: pa.Table, parts: int) -> np.ndarray:
-    hashes, _ = _block_anchors(block)
-    return hashes[_answers(bits, parts, _cuts(hashes, parts))]
+def _shared_anchors(block: _Block, answers: pa.Table) -> np.ndarray:
+    """Of a block's sorted anchors those whose numbers have come back."""
+    return _block_anchors(block)[0][np.sort(answers.column("at").to_numpy())]
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -168,66 +154,31 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False,
     """
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
-    blocks = parts = blocks_for(text_bytes(docs), BLOCK_BYTES)
-    packs = pack_blocks(docs, blocks, carry)
+    packs = pack_blocks(docs, carry)
 
     def name_anchors(key: tuple, group: pa.Table) -> pa.Table:
         hashes, several = _block_anchors(_Block(group.column("pack"), window))
-        cuts = _cuts(hashes, parts)
-        full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(full), pa.int32()),
-            "hashes": pa.array([squeeze(hashes[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
-            "several": pa.array([squeeze_bits(several[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
-        })
+        n = len(hashes)
+        return pa.table({"hash": pa.array(hashes.view(np.int64)), "block": pa.array(np.full(n, key[0].as_py()), pa.int64()), "at": pa.array(np.arange(n), pa.int32()), "several": pa.array(several)})
 
-    def judge_anchors(group: pa.Table) -> pa.Table:
-        lists = [expand(x.as_py(), np.uint64) for x in group.column("hashes")]
-        flags = [expand_bits(x.as_py(), len(h)) for x, h in zip(group.column("several"), lists, strict=True)]
-        every = np.concatenate(lists)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(every), bool)
-        twice[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        many = np.concatenate(flags)
-        # Shared, if another block has it, or several documents of this block.
-        found = np.split(twice | many, np.cumsum([len(x) for x in lists])[:-1])
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "bits": pa.array([squeeze_bits(x) for x in found], pa.binary())})
-
-    def name_windows(key: tuple, group: pa.Table, bits: pa.Table) -> pa.Table:
+    def name_windows(key: tuple, group: pa.Table, anchors: pa.Table) -> pa.Table:
         block = _Block(group.column("pack"), window)
-        wide, ids = _gathered(block, _shared_anchors(block, bits, parts))
-        cuts = _cuts(wide["a"], parts)
-        full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        cut = [slice(cuts[p], cuts[p + 1]) for p in full]
+        wide, ids = _gathered(block, _shared_anchors(block, anchors))
+        n = len(wide)
         return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(full), pa.int32()),
-            "a": pa.array([squeeze(wide["a"][c]) for c in cut], pa.binary()),
-            "b": pa.array([squeeze(wide["b"][c]) for c in cut], pa.binary()),
-            "ids": pa.array([squeeze(ids[c]) for c in cut], pa.binary()),
+            "a": pa.array(wide["a"].copy().view(np.int64)),
+            "b": pa.array(wide["b"].copy().view(np.int64)),
+            "id": pa.array(ids),
+            "block": pa.array(np.full(n, key[0].as_py()), pa.int64()),
+            "at": pa.array(np.arange(n), pa.int32()),
         })
 
-    def judge_windows(group: pa.Table) -> pa.Table:
-        a, b, ids = ([expand(x.as_py(), kind) for x in group.column(c)] for c, kind in (("a", np.uint64), ("b", np.uint64), ("ids", np.int64)))
-        sizes = [len(x) for x in a]
-        a, b, ids = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
-        order = np.lexsort((ids, b, a))
-        ra, rb = a[order], b[order]
-        first = np.concatenate(([True], (ra[1:] != ra[:-1]) | (rb[1:] != rb[:-1])))
-        least = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-        smaller = np.zeros(len(a), bool)
-        smaller[order] = least < ids[order]
-        found = np.split(smaller, np.cumsum(sizes)[:-1])
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "bits": pa.array([squeeze_bits(x) for x in found], pa.binary())})
-
-    def remove(group: pa.Table, bits: pa.Table, smaller: pa.Table) -> pa.Table:
+    def remove(group: pa.Table, anchors: pa.Table, windows: pa.Table) -> pa.Table:
         block = _Block(group.column("pack"), window)
-        shared = _shared_anchors(block, bits, parts)
+        shared = _shared_anchors(block, anchors)
         wide, ids = _gathered(block, shared)
-        elsewhere = _answers(smaller, parts, _cuts(wide["a"], parts))
+        elsewhere = np.zeros(len(wide), bool)
+        elsewhere[windows.column("at").to_numpy()] = True
         out: list[tuple] = []
         number = _numbers(block)
         for first, texts, bounds, of, at, own in _block_windows(block, shared):
@@ -258,13 +209,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False,
     names = [*(x.split()[0] for x in schema.split(", ")), *carry]
     carried = to_arrow_schema(docs.select(*carry).schema)
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    anchors = packs.groupBy("block").applyInArrow(name_anchors, "part int, block int, hashes binary, several binary")
-    anchor_bits = anchors.groupBy("part").applyInArrow(judge_anchors, _BITS)
-    found = packs.groupBy("block").cogroup(anchor_bits.groupBy("block")).applyInArrow(name_windows, "part int, block int, a binary, b binary, ids binary")
-    window_bits = found.groupBy("part").applyInArrow(judge_windows, _BITS)
-
-    # Both kinds of bits go to their block together: a block has `parts` rows of each, and a bit for each hash.
-    both = anchor_bits.selectExpr("block", "part", "bits", "true AS of_anchors").unionByName(window_bits.selectExpr("block", "part", "bits", "false AS of_anchors"))
+    # A block names an anchor or a window once, so these windows hold a row a block at most; Spark sorts them and spills.
+    anchors = packs.groupBy("block").applyInArrow(name_anchors, "hash long, block long, at int, several boolean")
+    of_hash = W.partitionBy("hash")
+    met = anchors.select("block", "at", F.count(F.lit(1)).over(of_hash).alias("n"), F.max("several").over(of_hash).alias("several"))
+    shared_anchors = met.where("n > 1 OR several").select("block", "at")
+    found = packs.groupBy("block").cogroup(shared_anchors.groupBy("block")).applyInArrow(name_windows, "a long, b long, id long, block long, at int")
+    least = F.min("id").over(W.partitionBy("a", "b"))
+    smaller = found.select("block", "at", (least < F.col("id")).alias("smaller")).where("smaller").select("block", "at")
+
+    # Both kinds of answers go to their block together.
+    both = shared_anchors.select("block", "at", F.lit(True).alias("of_anchors")).unionByName(smaller.select("block", "at", F.lit(False).alias("of_anchors")))
 
     def remove_both(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         of_anchors = answers.column("of_anchors").to_numpy(zero_copy_only=False).astype(bool)

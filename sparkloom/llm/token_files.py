@@ -22,21 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import expand, expand_bits, squeeze, squeeze_bits
-from .common import blocks_for, scratch, table, text_bytes
+from .blocks import bounded, expand, expand_bits, squeeze, squeeze_bits
+from .common import blocks_for, file_rows, lean, scratch, source_bytes, table
 from .elias_fano import EliasFano
 from .tokens import encoder
 
 MAGIC = b"SLT1"
 _HEAD = struct.Struct("<4sBQQQQQ")
 
-#: Bytes of text of a shard, and ids of a segment, about.
-SHARD_BYTES, SEGMENT_IDS = 24 << 20, 1 << 20
+#: Bytes of input files of a shard, and ids of a segment, about.
+SHARD_BYTES, SEGMENT_IDS = 16 << 20, 1 << 20
 
 SEGMENTS = "shard int, segment int, first_id long, n_docs long, n_ids long, data binary"
 
@@ -44,20 +45,23 @@ SEGMENTS = "shard int, segment int, first_id long, n_docs long, n_ids long, data
 class Segment:
     """Consecutive documents: their ids (numbers), the boundaries and the id array."""
 
-    def __init__(self, doc_ids: list[int | None], boundaries: EliasFano, ids: np.ndarray):
+    def __init__(self, doc_ids: pa.Array, boundaries: EliasFano, ids: np.ndarray):
         self.doc_ids, self.boundaries, self.ids = doc_ids, boundaries, ids
 
     @classmethod
-    def of(cls, doc_ids: list[int | None], parts: list[bytes], dtype: np.dtype) -> Segment:
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // dtype.itemsize
-        return cls(doc_ids, EliasFano.of(np.concatenate(([0], np.cumsum(sizes)))), np.frombuffer(b"".join(parts), dtype))
+    def of(cls, doc_ids: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> Segment:
+        return cls(doc_ids, EliasFano.of(np.concatenate(([0], np.cumsum(sizes)))), ids)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.boundaries.select(i) : self.boundaries.select(i + 1)]
 
+    def offsets(self) -> np.ndarray:
+        """Where each document begins, and the end."""
+        return self.boundaries.select(np.arange(self.boundaries.n))
+
     def to_bytes(self) -> bytes:
-        known = np.array([d is not None for d in self.doc_ids], bool)
-        numbers = squeeze(np.array([d or 0 for d in self.doc_ids], np.int64))
+        known = self.doc_ids.is_valid().to_numpy(zero_copy_only=False)
+        numbers = squeeze(self.doc_ids.fill_null(0).to_numpy())
         valid, bounds = squeeze_bits(known), self.boundaries.to_bytes()
         head = _HEAD.pack(MAGIC, self.ids.itemsize, len(self.doc_ids), len(self.ids), len(numbers), len(valid), len(bounds))
         return head + numbers + valid + bounds + self.ids.tobytes()
@@ -71,40 +75,41 @@ class Segment:
         numbers, valid = expand(data[at : at + a], np.int64), expand_bits(data[at + a : at + a + b], docs)
         bounds = EliasFano.from_bytes(data[at + a + b : at + a + b + c])
         array = np.frombuffer(data, f"<u{width}", ids, at + a + b + c)
-        return cls([int(x) if ok else None for x, ok in zip(numbers, valid, strict=True)], bounds, array)
+        return cls(pa.array(numbers, pa.int64(), mask=~valid), bounds, array)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
     """Encode docs (doc_id, text) and write their segments below path."""
-    shards = blocks_for(text_bytes(docs), SHARD_BYTES)
+    rows = file_rows(docs, ("doc_id", "text")).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    total = source_bytes(rows)
+    shards = blocks_for(total, SHARD_BYTES, min(docs.sparkSession.sparkContext.defaultParallelism, blocks_for(total, 1 << 20)))
+    kinds = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         own = encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], own.dtype).tobytes()
-        shard, first, count, held = TaskContext.get().partitionId(), 0, 0, ([], [])
+        shard, first, count, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush():
-            nonlocal first, count, held
-            seg = Segment.of(*held, own.dtype)
-            row = {"shard": [shard], "segment": [count], "first_id": [first], "n_docs": [len(held[0])], "n_ids": [len(seg.ids)], "data": [seg.to_bytes()]}
-            first, count, held = first + len(seg.ids), count + 1, ([], [])
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())]))
+            nonlocal first, count, held, size
+            doc_ids, ids, sizes = zip(*held, strict=True)
+            seg = Segment.of(pa.concat_arrays(doc_ids), np.concatenate(sizes), np.concatenate(ids))
+            row = {"shard": [shard], "segment": [count], "first_id": [first], "n_docs": [len(seg.doc_ids)], "n_ids": [len(seg.ids)], "data": [seg.to_bytes()]}
+            first, count, held, size = first + len(seg.ids), count + 1, [], 0
+            return pa.RecordBatch.from_pydict(row, schema=kinds)
 
-        size = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                    held[0].append(doc_id)
-                    held[1].append(ids + end)
-                    size += len(ids) + len(end)
-                    if size >= SEGMENT_IDS * own.dtype.itemsize:
+            for a, b in bounded(pc.binary_length(batch.column(1)).to_pylist(), 2 << 20):
+                ids, edges = own.encode_array(batch.column(1).slice(a, b - a), end_id)
+                # Cut where a segment is full; a longer document stands alone.
+                for i, j in bounded(np.diff(edges).tolist(), SEGMENT_IDS):
+                    if held and size + edges[j] - edges[i] > SEGMENT_IDS:
                         yield flush()
-                        size = 0
-        if held[0]:
+                    held.append((batch.column(0).slice(a + i, j - i), ids[edges[i] : edges[j]], np.diff(edges[i : j + 1])))
+                    size += int(edges[j] - edges[i])
+        if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(segments, SEGMENTS).write.option("compression", "zstd").parquet(path)
@@ -115,34 +120,33 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.schema(SEGMENTS).parquet(path)
     totals = found.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = F.sum("total").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    # One row a shard, and write_tokens makes one shard for each SHARD_BYTES: a petabyte of text has 4e7 at most,
-    # a hundred terabytes 4e6. Beyond a million rows the join is left to the planner.
+    # One row a shard, and write_tokens makes one for each SHARD_BYTES: 4e6 rows for a hundred terabytes, which the planner joins as it sees fit.
     starts = totals.select("shard", F.coalesce(before, F.lit(0)).alias("shard_start"))
-    if (found.agg(F.max("shard")).first()[0] or 0) < 1_000_000:
-        starts = F.broadcast(starts)
     return found.join(starts, "shard").withColumn("base", F.col("shard_start") + F.col("first_id"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (little-endian binary)."""
+def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and if asked for the ids (little-endian binary)."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for base, data in zip(batch.column(0), batch.column(1), strict=True):
                 seg = Segment.from_bytes(data.as_py())
-                edges = seg.boundaries.all().astype(np.int64)
-                wide = seg.ids.astype("<u4").tobytes()
-                ends = edges.tolist()
-                own, step = seg.ids.tobytes(), seg.ids.itemsize
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(seg.doc_ids, pa.int64()),
-                    "start": pa.array(edges[:-1] + base.as_py(), pa.int64()),
-                    "n_tokens": pa.array(np.diff(edges), pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64()),
-                    "ids": pa.array([own[step * a : step * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                })
-
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+                edges = seg.offsets()
+                wide, at = memoryview(seg.ids.astype("<u4")).cast("B"), (4 * edges).tolist()
+                columns = [
+                    seg.doc_ids,
+                    pa.array(edges[:-1] + base.as_py(), pa.int64()),
+                    pa.array(np.diff(edges), pa.int64()),
+                    pa.array([zlib.crc32(wide[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                ]
+                if ids:
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * seg.ids.itemsize).astype(np.int32)), pa.py_buffer(seg.ids)]))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
     return read_segments(spark, path).select("base", "data").mapInArrow(rows, schema)
 
 
@@ -151,4 +155,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return read_documents(spark, path).drop("ids")
+    return read_documents(spark, path, ids=False)

@@ -7,12 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkloom.llm import bpe, exact_dedup, near_dedup, packing, substring, token_files, tokens
+from sparkloom.llm import blocks, bpe, exact_dedup, near_dedup, packing, substring, token_files, tokens
 from sparkloom.llm.common import scratch
 from sparkloom.llm.elias_fano import EliasFano
 from tests.llm.fixtures import documents, empty, frame
@@ -36,10 +37,15 @@ def test_chunks_give_the_librarys_ids(path, text):
     own = tokens.encoder(path)
     ids = np.frombuffer(own.encode([text, "filler " + text])[0], own.dtype).tolist()
     assert ids == own.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["", text, "plain words, 12 of them\n\n  here ", text + " Ünd so", None]
+    found, edges = own.encode_array(pa.array([x or "" for x in texts]).slice(1), end=7, most=20)
+    want = [[*own.tokenizer.encode(x or "", add_special_tokens=False).ids, 7] for x in texts[1:]]
+    assert [found[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == want
 
 
 def test_bpe(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(bpe, "PART_BYTES", 1000)
     t = Tokenizer.from_file(BYTES)
     want = []
     for d, x in documents():
@@ -53,7 +59,7 @@ def test_bpe(spark, monkeypatch):
 
 
 def test_substrings(spark, monkeypatch):
-    monkeypatch.setattr(substring, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
     assert len({(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}) == substring.PERIOD
     rows = documents()
     first = defaultdict(lambda: float("inf"))
@@ -108,8 +114,10 @@ def test_the_index_goes_on(spark):
 def test_elias_fano(steps):
     numbers = np.cumsum(np.array(steps, np.uint64))
     code = EliasFano.from_bytes(EliasFano.of(numbers).to_bytes())
-    assert code.all().tolist() == numbers.tolist()
+    assert code.select(np.arange(len(numbers))).tolist() == numbers.tolist()
     assert [code.select(i) for i in range(len(numbers))] == numbers.tolist()
+    picked = np.arange(len(numbers))[::3]
+    assert code.select(picked).tolist() == numbers[picked].tolist()
 
 
 def test_token_files(spark, monkeypatch):
@@ -129,9 +137,9 @@ def test_token_files(spark, monkeypatch):
     none = scratch(spark, "tokens")
     token_files.write_tokens(empty(spark), none, WORDS, end_id=2)
     assert token_files.read_documents(spark, none).collect() == []
-    seg = token_files.Segment.of([5, None], [b"\1\0\2\0", b""], np.dtype("<u2"))
+    seg = token_files.Segment.of(pa.array([5, None], pa.int64()), np.array([2, 0]), np.array([1, 2], "<u2"))
     back = token_files.Segment.from_bytes(seg.to_bytes())
-    assert back.doc_ids == [5, None] and back.document(0).tolist() == [1, 2] and back.document(1).tolist() == []
+    assert back.doc_ids.to_pylist() == [5, None] and back.offsets().tolist() == [0, 2, 2] and back.document(0).tolist() == [1, 2] and back.document(1).tolist() == []
 
 
 def test_packing(spark):
@@ -155,20 +163,65 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark), WORDS, 1).collect() == []
 
 
-@given(st.lists(st.integers(1, 64), min_size=1, max_size=300))
-@settings(max_examples=100, deadline=None)
-def test_best_fit(lengths):
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    room = defaultdict(int)
-    order, at = sorted(lengths, reverse=True), 0
-    for rank, pieces, first, offset in packing.best_fit(counts, 64):
-        assert rank == at
+def packed(lengths, placements, capacity):
+    """Bins of lengths (longest first) as the placements say, each filled without gaps; the number of bins."""
+    bins, at = defaultdict(list), 0
+    for size, rank, pieces, first, offset in sorted(placements, key=lambda x: x[1]):
+        assert rank == at and all(x == size for x in lengths[rank : rank + pieces])
         for i in range(pieces):
-            assert room[first + i] == offset
-            room[first + i] += order[rank + i]
+            bins[first + i].append((offset, size))
         at += pieces
-    assert at == len(lengths) and max(room.values()) <= 64
-    assert len(room) <= sum(lengths) * 2 / 64 + 1
+    assert at == len(lengths)
+    for pieces in bins.values():
+        end = 0
+        for offset, size in sorted(pieces):
+            assert offset == end
+            end += size
+        assert end <= capacity
+    return len(bins)
+
+
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=300))
+@settings(max_examples=100, deadline=None)
+def test_rounds_of_best_fit(lengths):
+    lengths.sort(reverse=True)
+    pieces = [(n, lengths.index(n), lengths.count(n)) for n in sorted(set(lengths))]
+    gaps, bins, placed = [], 0, []
+    while pieces:
+        for width in (8, 32):
+            own, after = pieces, []
+            pieces = []
+            for low in range(1, 65, width):
+                here = lambda x, low=low, width=width: low <= x[0] < low + width
+                out, left, room = packing.sweep_range([x for x in own if here(x)], [x for x in gaps if here(x)], low, low + width - 1, 64)
+                placed, pieces, after = placed + out, pieces + left, after + room
+            gaps = after
+        out, filled, pieces, gaps = packing.sweep(pieces, gaps, 64)
+        more, pieces, opened, bins = packing.open_bins(pieces, gaps + filled, bins, 64)
+        gaps, placed = gaps + filled + opened, placed + out + more
+    assert packed(lengths, [x[1:] for x in placed], 64) == bins <= sum(lengths) * 2 / 64 + 1
+
+
+def test_a_sweep_takes_the_smallest_room_that_holds_a_piece():
+    placed, filled, left, gaps = packing.sweep([(5, 0, 2), (3, 2, 2), (9, 4, 1)], [(6, 10, 1), (8, 20, 2), (3, 30, 1)], 10)
+    assert sorted(placed) == sorted([(packing.PLACED, 5, 0, 1, 10, 4), (packing.PLACED, 5, 1, 1, 20, 2), (packing.PLACED, 3, 2, 1, 30, 7), (packing.PLACED, 3, 3, 1, 21, 2)])
+    assert sorted(filled) == [(1, 10, 1), (3, 20, 1), (5, 21, 1)] and left == [(9, 4, 1)] and gaps == []
+
+
+def test_best_fit_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "WIDTH", 4)
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 50)
+    lengths = np.random.default_rng(1).geometric(0.08, 600).clip(1, 64)
+    df = spark.createDataFrame([(int(n), i) for i, n in enumerate(lengths)], "length long, note long")
+    got = packing.pack(df, 64).collect()
+    assert sorted((r.length, r.note) for r in got) == sorted((int(n), i) for i, n in enumerate(lengths))
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for pieces in bins.values():
+        assert [o for o, _ in sorted(pieces)] == np.cumsum([0, *(n for _, n in sorted(pieces))])[:-1].tolist()
+        assert sum(n for _, n in pieces) <= 64
+    assert len(bins) <= 1.02 * lengths.sum() / 64 + 1
 
 
 @pytest.mark.parametrize(("bucket", "chunk"), [(32, 2048), (2, 4)])
