@@ -16,19 +16,15 @@ from .hashing import mix
 _STRIP, _DART, _COORD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 
 
-def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray | None, sets: int, k: int) -> np.ndarray:
-    """(sets, k) values; element: 64-bit hashes, owner: the set of each, weight: 1 if None. A set without weight gets zeros."""
-    if weight is None:
-        share = None
-        total = np.bincount(owner, minlength=sets).astype(float)
-    else:
-        # Strips of width 1; the last one of an element may be narrower, and darts beside it miss.
-        strips = np.ceil(weight).astype(np.int64)
-        total = np.bincount(owner, weight, sets)
-        at = np.repeat(np.arange(len(element)), strips)
-        level = np.arange(len(at)) - np.repeat(np.cumsum(strips) - strips, strips)
-        share = np.minimum(weight[at] - level, 1.0)
-        element, owner = mix(element[at] + level.astype(np.uint64) * _STRIP), owner[at]
+def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, sets: int, k: int) -> np.ndarray:
+    """(sets, k) values; element: 64-bit hashes, owner: the set of each, weight: above 0. A set without elements gets zeros."""
+    # Strips of width 1; the last one of an element may be narrower, and darts beside it miss.
+    strips = np.ceil(weight).astype(np.int64)
+    total = np.bincount(owner, weight, sets)
+    at = np.repeat(np.arange(len(element)), strips)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(strips) - strips, strips)
+    share = None if weight.dtype.kind in "iu" else np.minimum(weight[at] - level, 1.0)
+    element, owner = mix(element[at] + level.astype(np.uint64) * _STRIP), owner[at]
     out = np.zeros((sets, k), np.uint64)
     todo, limit = total > 0, (k * np.log(k) + 2 * k) / np.maximum(total, 1e-12)
     while todo.any():

@@ -1,22 +1,25 @@
 """MinHash near-dedup: DartMinHash signatures, banded candidates, exact verification, classes.
 
-Documents are sets of runs of five words (a shorter document is the one run of all its words); two are linked if
-the Jaccard similarity of their sets is at least the threshold, and a class is a connected component of links.
+Documents are weighted sets of runs of five words (a shorter document is the one run of all its words); the weight of a run is
+how often it occurs. Two documents are linked if the weighted Jaccard similarity of their sets, the sum of the lesser over the sum
+of the greater weights, is at least the threshold, and a class is a connected component of links. Where no run occurs
+twice in a document this is the similarity of plain sets.
 
 1. Each text is hashed and signed once, in one pass. Equal sets become one node, so exact copies cost nothing more.
-2. Bands of four coordinates give keys; 32 bands miss a pair of similarity 0.8 once in twenty million. Keys are streamed
-   in sorted order. A bucket of up to BUCKET nodes names all its pairs, a constant number a node; a larger one names only
+2. Bands of four coordinates give keys; 32 bands miss a pair of similarity 0.8 once in twenty million. Keys are counted
+   with partial sums. A bucket of up to BUCKET nodes names all its pairs, a constant number a node; a larger one names only
    its links to a hub.
-3. Candidates are cut down by the sizes of the sets (exact) and by a byte of each coordinate (five standard
-   deviations below the threshold), then verified on whole texts, best first. Pairs inside a class that has already formed are
-   skipped: they cannot change it.
+3. Candidates are cut down by the weights of the sets (exact) and by a byte of each coordinate (five standard
+   deviations below the threshold), then verified on whole texts, each node's best first. Pairs inside a class that has already
+   formed are skipped: they cannot change it.
 4. In buckets beyond BUCKET that still hold several classes, chunks of nodes meet in one task each with their texts, and every
    pair across classes that passes the filters is verified there; only links leave the task. Nothing is capped, and no
    group is held by one task.
 
 Defined results: null text and text without words have no set and stand alone; copies are one class whatever their
 doc_ids; a class is named by its smallest doc_id (null only if all are null), and the row that has it, the first one of equal
-rows, is kept; a table without rows gives none; other columns are not read.
+rows, is kept; a table without rows gives none; other columns are not read. Rows are known by their place, so doc_ids may be
+null or repeat.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import bounded
-from .common import materialize, shuffle_partitions, table
+from .common import PLACE, lean, materialize, placed, table
 from .dartminhash import signatures
 from .graph import merged
 from .hashing import mix, runs, words
@@ -40,143 +43,108 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 #: Nodes of a bucket that names all its pairs.
 BUCKET = 32
-#: Nodes of a chunk when larger buckets are compared.
-CHUNK = 4096
+#: Bytes of text, and nodes, of a chunk when larger buckets are compared.
+CHUNK_BYTES, CHUNK = 4 << 20, 4096
+#: Bytes and number of the texts that are signed or verified at once: a set draws about 900 darts, however small it is.
+SLICE_BYTES, SLICE = 256 << 10, 256
 
-_SIGNED = "doc_id long, set_a long, set_b long, n long, bands binary, sketch binary"
+_SIGNED = "doc_id long, _file long, _row long, set_a long, set_b long, n long, size long, bands array<bigint>, sketch binary"
+_OWNER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grouped(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by owner in which equal hashes of an owner stand side by side, and where a new hash or owner begins."""
+    both = mix(h ^ (owner.astype(np.uint64) + np.uint64(1)) * _OWNER)
+    order = np.argsort(both)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(owner) and owner.max() < 1 << 16 else np.int64), kind="stable")]
+    both = both[order]
+    return order, np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.zeros(0, bool)
 
 
 def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text's runs: hash, text, and how often it occurs; each once, by text and hash."""
+    """Of each text's runs: hash, text, and how often it occurs; each once, by text."""
     joined = b"\n".join(texts)
     hashed, start, _ = words(joined)
     edges = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     size = np.diff(edges)
-    owner = np.repeat(np.arange(len(texts)), np.maximum(size - SHINGLE + 1, 0))
-    at = np.concatenate([np.arange(a, b - SHINGLE + 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]) if len(texts) else np.zeros(0, np.int64)
-    hashes = [runs(hashed, SHINGLE)[at]] if len(at) else []
-    owners = [owner]
+    count = np.maximum(size - SHINGLE + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(len(owner)) + np.repeat(edges[:-1] - (np.cumsum(count) - count), count)
+    hashes, owners = [runs(hashed, SHINGLE)[at]] if len(at) else [], [owner]
     for n in range(1, SHINGLE):
         short = np.flatnonzero(size == n)
         if len(short):
             hashes.append(runs(hashed, n)[edges[short]] ^ np.uint64(n))
             owners.append(short)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((h, o))
-    h, o = h[order], o[order]
-    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1]))))
-    return h[first], o[first], np.diff(np.append(first, len(h))).astype(float)
+    order, new = _grouped(h, o)
+    first = np.flatnonzero(new)
+    return h[order][first], o[order][first], np.diff(np.append(first, len(h)))
 
 
-def _digests(h: np.ndarray, owner: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits of each set, whatever its order, and its size."""
+def _digests(h: np.ndarray, owner: np.ndarray, count: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of each weighted set, whatever its order, and its weight."""
     out = []
+    edges = np.searchsorted(owner, np.arange(sets + 1))
     for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
         sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(mix(h ^ salt), out=sums[1:])
-        edges = np.searchsorted(owner, np.arange(sets + 1))
+        np.cumsum(mix(h ^ salt) * count.astype(np.uint64), out=sums[1:])
         out.append((sums[edges[1:]] - sums[edges[:-1]]).view(np.int64))
-    return out[0], out[1], np.bincount(owner, minlength=sets)
+    return out[0], out[1], np.bincount(owner, count, sets).astype(np.int64)
+
+
+def _encoded(batch: pa.RecordBatch, column: int, a: int, b: int) -> list[bytes]:
+    return batch.column(column).slice(a, b - a).cast(pa.binary()).to_pylist()
 
 
-def sign(docs: DataFrame, weighted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Digest, size, band keys and coordinate bytes of each text of docs (doc_id, text), and the columns of carry."""
-    k, carried = BANDS * ROWS, docs.select(*carry).schema
-    schema = _SIGNED + "".join(f", `_carry_{f.name}` {f.dataType.simpleString()}" for f in carried)
-    names = [*(x.split()[0] for x in _SIGNED.split(", ")), *(f"_carry_{c}" for c in carry)]
+def _slices(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    lengths = sum((pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) + 1 for c in columns))
+    for a, b in bounded(lengths.tolist(), SLICE_BYTES):
+        for i in range(a, b, SLICE):
+            yield i, min(b, i + SLICE)
+
+
+def sign(docs: DataFrame) -> DataFrame:
+    """Place, digest, weight, bytes, band keys and coordinate bytes of each text of docs (doc_id, text, _file, _row)."""
+    k = BANDS * ROWS
+    names = [x.split()[0] for x in _SIGNED.split(", ")]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in bounded([len(t) + 1 for t in texts], 1 << 20):
-                h, owner, count = _shingles(texts[a:b])
-                sig = signatures(h, owner, count if weighted else None, b - a, k)
+            for a, b in _slices(batch.column(1)):
+                texts = _encoded(batch, 1, a, b)
+                h, owner, count = _shingles(texts)
+                sig = signatures(h, owner, count, b - a, k)
                 keys = np.zeros((b - a, BANDS), np.uint64)
                 for r in range(ROWS):
                     keys = mix(keys * np.uint64(31) + sig[:, r::ROWS])
                 keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
                 sketch = (sig >> np.uint64(24)).astype(np.uint8)
-                da, db, n = _digests(h, owner, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(da), pa.array(db), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), *(c.slice(a, b - a) for c in batch.columns[2:])],
-                    names,
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry_{c}") for c in carry)).mapInArrow(signed, schema)
+                da, db, n = _digests(h, owner, count, b - a)
+                own = [batch.column(c).slice(a, b - a) for c in (0, 2, 3)]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                sketches = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, sketch.size + 1, k, dtype=np.int32)), pa.py_buffer(sketch.tobytes())])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(da), pa.array(db), pa.array(n), pa.array(list(map(len, texts)), pa.int64()), bands, sketches], names)
 
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *PLACE).mapInArrow(signed, _SIGNED)
 
-def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    """Rows of kind 0: a pair (x, y) of a small bucket; of kind 1: member y of the larger bucket x."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                node = batch.column(0).to_numpy()
-                key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, BANDS))], ["key", "node"])
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        large = None  # the key of a larger bucket that has gone out as far as it was read
-
-        def cut(key, node, last: bool):
-            nonlocal held_key, held_node, large
-            out: list[list] = [[], [], []]
-
-            def put(kind, x, y):
-                for column, values in zip(out, (np.full(len(x), kind), x, y), strict=True):
-                    column.append(values)
-
-            if large is not None:
-                more = int(np.searchsorted(key, large, "right"))
-                put(1, key[:more], node[:more])
-                key, node = key[more:], node[more:]
-                large = None if len(key) else large
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(key)))
-            if len(start) and not last:  # the last bucket may go on in the next batch
-                at = start[-1]
-                if size[-1] > BUCKET:
-                    put(1, key[at:], node[at:])
-                    large, held_key, held_node = key[at], key[:0], node[:0]
-                else:
-                    held_key, held_node = key[at:], node[at:]
-                start, size = start[:-1], size[:-1]
-            elif not last:
-                held_key, held_node = key, node
-            for n in np.unique(size):
-                at = start[size == n]
-                if 2 <= n <= BUCKET:
-                    i, j = np.triu_indices(n, 1)
-                    put(0, node[at[:, None] + i].ravel(), node[at[:, None] + j].ravel())
-                elif n > BUCKET:
-                    put(1, np.repeat(key[at], n), node[at[:, None] + np.arange(n)].ravel())
-            return out
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]), pa.int32()), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["kind", "x", "y"])
-
-        for batch in batches:
-            if batch.num_rows:
-                out = cut(np.concatenate((held_key, batch.column(0).to_numpy())), np.concatenate((held_node, batch.column(1).to_numpy())), False)
-                if out[0]:
-                    yield batch_of(out)
-        if len(held_key):
-            out = cut(held_key, held_node, True)
-            if out[0]:
-                yield batch_of(out)
-
-    rows = nodes.select("node", "bands").mapInArrow(keys, "key long, node long")
-    dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
-    return materialize(dealt.mapInArrow(bucket, "kind int, x long, y long"), "buckets")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, m, hub): the members of each bucket of m > 1 nodes; the hub is the one that a hash with the key puts first."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    # Most keys stand alone; counting has partial sums, and the join may split a key that many nodes share.
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", "key")).alias("hub")).where("m > 1")
+    return materialize(keys.join(shared, "key"), "buckets")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float, similarity: float) -> DataFrame:
-    """Pairs (a, b) with the share of equal coordinate bytes, where it is at least `least` and the sizes allow the similarity."""
+    """Pairs (a, b) with the share of equal coordinate bytes, where it is at least `least` and the weights allow the similarity."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
@@ -191,39 +159,28 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float, similarity: flo
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of wanted (node, doc_id, set_a, set_b); a row is known by its id and the digest of its set."""
+    """(node, text) of wanted (node, _file, _row)."""
+    own = docs.select(*PLACE, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return materialize(own.join(wanted, list(PLACE)).select("node", "text"), "texts")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in bounded([len(t) + 1 for t in texts], 1 << 20):
-                h, owner, _ = _shingles(texts[a:b])
-                da, db, _ = _digests(h, owner, b - a)
-                part = batch.slice(a, b - a)
-                same = (da == part.column(2).to_numpy()) & (db == part.column(3).to_numpy())
-                got = part.filter(pa.array(same))
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["node", "text"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "set_a", "set_b")
-    return materialize(rows.mapInArrow(pick, "node long, text string").dropDuplicates(["node"]), "texts")
+def _similar(hx, ox, cx, hy, oy, cy, pairs: int, similarity: float) -> np.ndarray:
+    """Which of the pairs of weighted sets are as similar as asked for."""
+    h, o, c = np.concatenate((hx, hy)), np.concatenate((ox, oy)), np.concatenate((cx, cy))
+    order, new = _grouped(h, o)
+    o, c = o[order], c[order]
+    same = np.flatnonzero(~new)  # a hash of both: the other one stands before it
+    both = np.bincount(o[same], np.minimum(c[same], c[same - 1]), pairs)
+    return np.flatnonzero(both >= similarity * (np.bincount(o, c, pairs) - both))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose sets are as similar as asked for."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            first, second = (batch.column(c).to_pylist() for c in (2, 3))
-            keep = []
-            for i, j in bounded([len(x) + len(y) for x, y in zip(first, second, strict=True)], 1 << 20):
-                hx, ox, _ = _shingles([t.encode() for t in first[i:j]])
-                hy, oy, _ = _shingles([t.encode() for t in second[i:j]])
-                h, o = np.concatenate((hx, hy)), np.concatenate((ox, oy))
-                order = np.lexsort((h, o))
-                h, o = h[order], o[order]
-                both = np.bincount(o[1:][(h[1:] == h[:-1]) & (o[1:] == o[:-1])], minlength=j - i)
-                keep.append(i + np.flatnonzero(both >= similarity * (np.bincount(o, minlength=j - i) - both)))
+            keep = [i + _similar(*_shingles(_encoded(batch, 2, i, j)), *_shingles(_encoded(batch, 3, i, j)), j - i, similarity) for i, j in _slices(batch.column(2), batch.column(3))]
             if keep:
                 yield batch.select(["a", "b"]).take(pa.array(np.concatenate(keep)))
 
@@ -231,30 +188,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verify pairs (a, b, est) across classes, each node's best first, until none is left; the labels then.
+def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float, sparing: int = 2) -> DataFrame:
+    """Verify pairs (a, b, est) across classes until none is left; the labels then.
 
-    The first round links most of what belongs together; what is still across classes then is verified in ever larger
-    portions, so the rounds are few.
+    In the first rounds each node brings its best pair, which links most of what belongs together; what is still across
+    classes then is verified whole.
     """
-    la, lb, most = "node AS a", "node AS b", 2
-    while True:
-        cross = (
-            open_pairs.join(labels.selectExpr(la, "comp AS ca"), "a").join(labels.selectExpr(lb, "comp AS cb"), "b").where("ca <> cb")
-        )
-        ranked = cross.withColumns({
-            "ra": F.row_number().over(W.partitionBy("a").orderBy(F.desc("est"), "b")),
-            "rb": F.row_number().over(W.partitionBy("b").orderBy(F.desc("est"), "a")),
-        })
-        ranked = materialize(ranked.select("a", "b", "est", ((F.col("ra") <= most) | (F.col("rb") <= most)).alias("now")), "open-pairs")
-        now = ranked.where("now")
-        if not now.limit(1).count():
-            return labels
+    ends_of = ("node AS a", "comp AS ca"), ("node AS b", "comp AS cb")
+    for turn in range(sparing + 1):
+        la, lb = (labels.selectExpr(*x) for x in ends_of)
+        cross = materialize(open_pairs.join(la, "a").join(lb, "b").where("ca <> cb").select("a", "b", "est"), "open-pairs")
+        now = cross.select("a", "b")
+        if turn < sparing:
+            ends = cross.select(F.col("a").alias("node"), "est", "a", "b").unionByName(cross.select(F.col("b").alias("node"), "est", "a", "b"))
+            best = ends.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("best"))
+            now = materialize(best.select("best.a", "best.b").distinct(), "best-pairs")
+            open_pairs = cross.join(now, ["a", "b"], "left_anti")
         links = materialize(_verified(now, texts, similarity), "verified")
-        open_pairs = ranked.where("NOT now").select("a", "b", "est")
-        most *= 8
         if links.limit(1).count():
             labels = merged(labels, links)
+        elif not cross.limit(1).count():
+            break
+    return labels
 
 
 def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, similarity: float) -> DataFrame:
@@ -263,9 +218,9 @@ def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
     A bucket's members are dealt into chunks, and each two chunks meet in one task with their texts. Every pair across
     classes that the bytes let through is verified there, in the first bucket that its nodes share; links alone leave the task.
     """
-    member = large.join(labels, "node")
-    split = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    chunks = F.ceil(F.col("m") / F.lit(CHUNK)).cast("int")
+    member = large.join(labels, "node").join(nodes.select("node", "size"), "node")
+    split = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    chunks = F.greatest(F.ceil(F.col("m") / F.lit(CHUNK)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("int")
     chunked = member.join(split.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp"
@@ -273,18 +228,22 @@ def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
     rows = dealt.join(nodes.select("node", "bands", "sketch").join(texts, "node"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
+        lean()
         group = group.combine_chunks()
         key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         node, comp, own = (group.column(c).to_numpy() for c in ("node", "comp", "own"))
         comp = comp.copy()
-        sketch, bands = (np.frombuffer(b"".join(group.column(c).to_pylist()), t).reshape(len(node), -1) for c, t in (("sketch", np.uint8), ("bands", np.int64)))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = pc.list_flatten(group.column("bands")).to_numpy().reshape(len(node), -1)
         band = int(np.argmax(bands[0] == key))
-        said = [t.encode() for t in group.column("text").to_pylist()]
-        sets: list[np.ndarray] = []
-        for a, b in bounded([len(t) for t in said], 1 << 20):
-            h, owner, _ = _shingles(said[a:b])
-            sets += np.split(h, np.searchsorted(owner, np.arange(1, b - a)))
-        size = np.array([len(x) for x in sets])
+        text = group.column("text").cast(pa.binary())
+        sets: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in _slices(text):
+            h, owner, count = _shingles(text.slice(a, b - a).to_pylist())
+            order = np.lexsort((h, owner))
+            edges = np.searchsorted(owner, np.arange(1, b - a))
+            sets += list(zip(np.split(h[order], edges), np.split(count[order], edges), strict=True))
+        size = np.array([c.sum() for _, c in sets])
         sides = (np.flatnonzero(own == i), np.flatnonzero(own == j))
         found = []
         classes, counts = np.unique(comp, return_counts=True)
@@ -299,9 +258,11 @@ def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
                 y = y[np.argmax(bands[y] == bands[x], 1) == band]
                 if not len(y):
                     continue
-                every = np.concatenate([sets[k] for k in y])
-                at = np.minimum(np.searchsorted(sets[x], every), size[x] - 1)
-                both = np.add.reduceat((sets[x][at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(size[y])[:-1])))
+                h, count = sets[x]
+                every, weight = (np.concatenate([sets[k][c] for k in y]) for c in (0, 1))
+                at = np.minimum(np.searchsorted(h, every), len(h) - 1)
+                lesser = np.where(h[at] == every, np.minimum(count[at], weight), 0)
+                both = np.add.reduceat(lesser, np.cumsum([0, *(len(sets[k][0]) for k in y[:-1])]))
                 linked = y[both >= similarity * (size[y] + size[x] - both)]
                 for c, k in zip(*np.unique(comp[linked], return_index=True), strict=True):
                     found.append((min(node[x], node[linked[k]]), max(node[x], node[linked[k]])))
@@ -312,39 +273,36 @@ def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, class_id, class_size, kept, and the columns of carry."""
-    held = [f"_carry_{c}" for c in carry]
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, place: bool = False) -> DataFrame:
+    """Of docs (doc_id, text): doc_id, class_id, class_size, kept, and if asked for the places of the rows."""
     slack = 5 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
     least = similarity - slack
-    signed = materialize(sign(docs, weighted, carry).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    docs = placed(docs, ("doc_id", "text"))
+    signed = materialize(sign(docs).withColumn("uid", F.monotonically_increasing_id()), "signed")
     sets = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("node"))
     members = materialize(
-        signed.select("uid", "doc_id", "n", "set_a", "set_b", *held).join(sets, ["set_a", "set_b"], "left").withColumn("node", F.coalesce("node", "uid")), "members"
+        signed.select("uid", "doc_id", *PLACE, "n", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left").withColumn("node", F.coalesce("node", "uid")).drop("set_a", "set_b"), "members"
     )
-    heads = members.where("n > 0 AND uid = node").select("uid", "node", "doc_id", "set_a", "set_b")
-    nodes = materialize(heads.join(signed.select("uid", "n", "bands", "sketch"), "uid").drop("uid"), "nodes")
-    buckets = _bucket_rows(nodes)
-    large = buckets.where("kind = 1").selectExpr("x AS key", "y AS node")
-    # A different hub in each bucket: the member that a hash with the bucket's key puts first.
-    hubs = large.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"))
-    spokes = large.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = buckets.where("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(spokes).distinct()
-    near = materialize(_estimated(pairs, nodes, least, similarity), "near-pairs")
+    heads = members.where("n > 0 AND uid = node").select("uid", "node")
+    nodes = materialize(heads.join(signed.select("uid", *PLACE, "n", "size", "bands", "sketch"), "uid").drop("uid"), "nodes")
+    buckets = _buckets(nodes)
+    small, large = buckets.where(F.col("m") <= BUCKET).select("key", "node"), buckets.where(F.col("m") > BUCKET).select("key", "node", "hub")
+    inside = small.selectExpr("key", "node AS a").join(small.selectExpr("key", "node AS b"), "key").where("a < b").select("a", "b")
+    spokes = large.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    near = materialize(_estimated(inside.unionByName(spokes).distinct(), nodes, least, similarity), "near-pairs")
     touched = near.selectExpr("a AS node").unionByName(near.selectExpr("b AS node")).unionByName(large.select("node")).distinct()
     labels = materialize(touched.withColumn("comp", F.col("node")), "labels")
-    texts = _texts(docs, nodes.join(labels.select("node"), "node").select("node", "doc_id", "set_a", "set_b"))
+    texts = _texts(docs, nodes.join(labels.select("node"), "node").select("node", *PLACE))
     labels = _resolve(near, labels, texts, similarity)
     if large.limit(1).count():
-        links = materialize(_across(large, labels, nodes, texts, least, similarity), "across")
+        links = materialize(_across(large.select("key", "node"), labels, nodes, texts, least, similarity), "across")
         if links.limit(1).count():
             labels = merged(labels, links)
-    placed = members.join(labels, "node", "left").select("uid", "doc_id", F.coalesce("comp", "node").alias("comp"), *held)
+    joined = members.join(labels, "node", "left").select("uid", "doc_id", *PLACE, F.coalesce("comp", "node").alias("comp"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
-    classes = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(classes, "comp").select(
-        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"),
-        *(F.col(h).alias(c) for h, c in zip(held, carry, strict=True)),
+    classes = joined.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    return joined.join(classes, "comp").select(
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), *(PLACE if place else ())
     )
 
 
