@@ -11,26 +11,27 @@ miss rows of that cosine (MISSED), and always where fewer than `k` were found, t
 A bucket or band of any size is split into chunks of rows that meet its queries one by one, so many equal vectors
 neither crowd a task nor leave any out. What is nearest within a chunk is a query's `k` best there; nothing else is cut.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
-length than most vectors, nor rows without vec_id; rows of equal vec_id count once, with their best score; a table without
-rows gives none; other columns are not read. With k candidates or fewer in all, every one is returned. The rules are the same
-at every size of the table.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
+vec_id; vectors of different lengths have no inner product, so each length is searched for itself; a score beyond a double is
+infinite; rows of equal vec_id count once, with their best score; a table without rows gives none; other columns are not read. With k
+candidates or fewer in all, every one is returned. The rules are the same at every size of the table.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks_for, materialize, table
 
-#: Tables, and signed axes that a query probes in each, as a share of all. On uniformly random vectors of 64 dimensions, the
-#: hardest case, these find 0.99 of the 20 nearest among 50,000 and 0.97 among 2,000.
-TABLES, PROBED = 8, 1 / 8
+#: Tables, and signed axes that a query probes in each, as a share of all.
+TABLES, PROBED = 8, 1 / 32
 #: The share of rows of some cosine to a query that its probed buckets may miss; below that cosine, bands are scanned.
 MISSED = 0.01
 #: Rows of a bucket, or of a scanned band, that meet its queries at once; queries that go to a scanned chunk in one piece.
@@ -64,7 +65,7 @@ class CrossPolytope:
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.axes))
-        out[:, : self.dims] = x
+        out[:, : self.dims] = x / np.abs(x).max(1, keepdims=True)
         return out / np.linalg.norm(x, axis=1, keepdims=True)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
@@ -101,10 +102,6 @@ class CrossPolytope:
         return least
 
 
-def _vectors(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
-
-
 class Chunk:
     """Rows in the order of their ids."""
 
@@ -113,53 +110,84 @@ class Chunk:
         self.ids, self.x = ids[order], x[order]
         self.kinds, self.starts, self.counts = np.unique(self.ids, return_index=True, return_counts=True)
 
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest ids, each with its best row; each inner product is summed in the order of components, so equal vectors score equally."""
-        if not len(self.ids):
-            return self.ids, np.zeros(0)
-        rough = self.x @ query
-        best = np.maximum.reduceat(rough, self.starts)
-        best[self.kinds == own] = -np.inf
-        edge = np.partition(best, -k)[-k] if len(best) > k else -np.inf
-        least = edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else -np.inf
-        top = np.where((best >= least) & (best > -np.inf), best - 1e-9 * (1 + np.abs(best)), np.inf)
-        near = np.flatnonzero(rough >= np.repeat(top, self.counts))
-        score = np.cumsum(self.x[near] * query, 1)[:, -1] if len(near) else np.zeros(0)
-        order = np.lexsort((self.ids[near], -score))
-        order = order[_first_seen(self.ids[near][order])][:k]
-        return self.ids[near][order], score[order]
-
-
-def _first_seen(ids: np.ndarray) -> np.ndarray:
-    return np.sort(np.unique(ids, return_index=True)[1])
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the k nearest ids, each with its best row: query (number), id, score; by query, nearest first.
+
+        A matrix product tells the candidates; their inner products are then summed in the order of components, so equal vectors
+        score equally.
+        """
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = queries @ self.x.T
+        rough[np.isnan(rough)] = np.inf  # beyond a double's range on the way: looked at exactly
+        best = rough if len(self.kinds) == len(self.ids) else np.maximum.reduceat(rough, self.starts, 1)
+        at = np.searchsorted(self.kinds, own)
+        mine = np.flatnonzero(self.kinds[np.minimum(at, len(self.kinds) - 1)] == own)
+        best = best.copy()
+        best[mine, at[mine]] = -np.inf
+        edge = np.partition(best, -k, 1)[:, -k] if best.shape[1] > k else np.full(len(queries), -np.inf)
+        with np.errstate(invalid="ignore"):
+            least = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), edge)
+            query, kind = np.nonzero((best >= least[:, None]) & (best > -np.inf))
+            top = best[query, kind]
+            top = np.where(np.isfinite(top), top - 1e-9 * (1 + np.abs(top)), top)
+        n = self.counts[kind]
+        query, top = np.repeat(query, n), np.repeat(top, n)
+        row = np.repeat(self.starts[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near = rough[query, row] >= top
+        query, row = query[near], row[near]
+        score = np.empty(len(row))
+        for a in range(0, len(row), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            score[part] = np.cumsum(self.x[row[part]] * queries[query[part]], 1)[:, -1]
+        return _nearest(query, self.ids[row], score, k)
+
+
+def _nearest(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to the smaller id; an id counts once, with its best score."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else [])
+    query, ids, score = query[first], ids[first], score[first]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], score[keep]
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, probed: float = PROBED) -> DataFrame:
     """Of vectors (vec_id, embedding): the k nearest of each row for which `queries` holds."""
     spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    own = vectors.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(queries, F.lit(False)).alias("asks")).where(
-        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    )
-    own = own.where(finite).withColumn("square", square).where((F.col("square") > 0) & (F.col("square") < float("inf")))
-    kinds = own.groupBy(F.size("embedding").alias("dims")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")
-    )
-    kind = kinds.orderBy(F.desc("n"), "dims").first()
-    if kind is None:
-        return spark.createDataFrame([], schema)
-    dims = kind["dims"]
+    wide = dict(vectors.dtypes)["embedding"]
+    kept = "float" if wide == "array<float>" else "double"  # what a vector is kept as on its way
+    own = vectors.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda v: v.cast(kept)).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"), "embedding").where(
+        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite
+    ).drop("embedding")
+    # The norm by its logarithm: the squares of finite components may be beyond a double.
+    most = F.array_max(F.transform("v", lambda v: F.abs(v.cast("double"))))
+    shares = F.aggregate(F.transform("v", lambda v: v.cast("double") / F.col("most")), F.lit(0.0), lambda t, v: t + v * v)
+    own = own.withColumn("most", most).where("most > 0").withColumn("norm2", F.log2("most") + F.log2(shares) / 2).drop("most")
+    kinds = own.groupBy(F.size("v").alias("dims")).agg(F.count_if("asks").alias("asking")).orderBy("dims").collect()
+    found = [_nearest_of(own.where(F.size("v") == r["dims"]), r["dims"], r["asking"], np.dtype(f"<f{4 if kept == 'float' else 8}"), k, tables, probed) for r in kinds if r["asking"]]
+    return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def _nearest_of(own: DataFrame, dims: int, asking: int, dtype: np.dtype, k: int, tables: int, probed: float) -> DataFrame:
+    """The same for rows (vec_id, v, asks, norm2) of one length."""
+    spark, schema = own.sparkSession, "query_id long, rank int, vec_id long, score double"
     model = CrossPolytope(dims, tables, probed)
-    band = F.floor(4 * F.log2("square")).cast("int").alias("band")  # an eighth of an octave of norms
-    rows = own.where(F.size("embedding") == dims).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"), "asks", band, "square")
+    band = F.floor(8 * F.col("norm2")).cast("int").alias("band")  # an eighth of an octave of norms
+    rows = own.select("vec_id", "v", "asks", band, "norm2")
+
+    def _vectors(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dims).astype(np.float64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 x = part.column(1).flatten().to_numpy().reshape(-1, dims)
-                data = np.array([v.tobytes() for v in x], object)
+                data, x = np.array([v.tobytes() for v in x], object), x.astype(np.float64)
                 ids, asks = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 for asking, at, found in ((False, np.arange(len(x)), model.buckets(x)), (True, np.flatnonzero(asks), model.probed(x[asks]))):
                     if len(at):
@@ -176,36 +204,34 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
     stored = sized.where("NOT asks").select("bucket", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v").toDF("bucket", "chunk", "vec_id", "v")
     asked = sized.where("asks").select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v").toDF("bucket", "chunk", "vec_id", "v")
 
-    def lists(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> pa.Table:
-        out, chunk = [], Chunk(ids, x)
-        for query, vector in queries:
-            near, score = chunk.best(vector, query, k)
-            out.append((query, near.tobytes(), score.tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "ids": pa.array(columns[1], pa.binary()), "scores": pa.array(columns[2], pa.binary())})
+    def lists(ids: np.ndarray, x: np.ndarray, numbers: np.ndarray, asked_: np.ndarray) -> pa.Table:
+        """What is nearest among rows (ids, x) to each query."""
+        out, chunk = ([], [], []), Chunk(ids, x) if len(ids) else None
+        for a in range(0, len(numbers) if len(ids) else 0, ASKED):
+            own_ = numbers[a : a + ASKED]
+            query, near, score = chunk.best(asked_[a : a + ASKED], own_, k)
+            edges = np.searchsorted(query, np.arange(len(own_) + 1))
+            out[0].append(own_)
+            out[1].extend(near[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True))
+            out[2].extend(score[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True))
+        return pa.table({"query_id": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "ids": pa.array(out[1], pa.binary()), "scores": pa.array(out[2], pa.binary())})
+
+    none = np.zeros(0, np.int64), np.zeros((0, dims))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
-            return lists(np.zeros(0, np.int64), np.zeros((0, dims)), [])
-        asking = list(zip(right.column("vec_id").to_pylist(), _vectors(right.column("v"), dims), strict=True))
-        return lists(left.column("vec_id").to_numpy(), _vectors(left.column("v"), dims), asking)
+            return lists(*none, *none)
+        return lists(left.column("vec_id").to_numpy(), _vectors(left.column("v")), right.column("vec_id").to_numpy(), _vectors(right.column("v")))
 
     found = stored.groupBy("bucket", "chunk").cogroup(asked.groupBy("bucket", "chunk")).applyInArrow(rerank, FOUND)
-    groups = blocks_for(kind["asking"], 256)
+    groups = blocks_for(asking, 256)
 
     def merge(group: pa.Table) -> pa.Table:
-        parts_of: dict[int, list] = {}
-        for query, ids, scores in zip(*(group.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
-            parts_of.setdefault(query, []).append((np.frombuffer(ids, np.int64), np.frombuffer(scores)))
-        out = [[], [], [], []]
-        for query, parts in parts_of.items():
-            ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((ids, -scores))
-            order = order[_first_seen(ids[order])][:k]
-            for column, values in zip(out, (np.full(len(order), query), np.arange(1, len(order) + 1), ids[order], scores[order]), strict=True):
-                column.append(values)
-        full = [np.concatenate(x) if x else [] for x in out]
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "rank", "vec_id", "score"), full, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)})
+        ids, scores = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("scores", np.float64)))
+        count = pc.binary_length(group.column("ids")).to_numpy() // 8
+        query, ids, scores = _nearest(np.repeat(group.column("query_id").to_numpy(), count), ids, scores, k)
+        rank = 1 + np.arange(len(query)) - np.searchsorted(query, query)
+        return pa.table({"query_id": pa.array(query), "rank": pa.array(rank, pa.int32()), "vec_id": pa.array(ids), "score": pa.array(scores)})
 
     def merged(found: DataFrame) -> DataFrame:
         return found.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInArrow(merge, schema)
@@ -213,12 +239,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
     first = materialize(merged(found), "nearest-in-buckets")
     reached = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
     asking = rows.where("asks").dropDuplicates(["vec_id", "v"]).join(reached, "vec_id", "left")
-    asking = asking.select("vec_id", "v", (F.coalesce("reached", F.lit(float("-inf"))) / F.sqrt("square")).alias("reached"))
+    # The least norm (its logarithm) at which a row at a safe cosine would score as much: all rows beyond it may be missed.
+    reach = F.when(F.col("reached") > 0, F.log2("reached") - F.col("norm2")).otherwise(float("-inf"))
+    asking = asking.select("vec_id", "v", reach.alias("reached"))
     least = asking.agg(F.min("reached")).first()[0]
     # One row a band: as many as a double's exponents allow, whatever the number of vectors.
-    bands = rows.groupBy("band").agg(F.max("square").alias("square"), F.count(F.lit(1)).alias("n")).collect()
-    safe = model.safe() * (1 + 1e-9)  # and ties
-    unsafe = [(r["band"], safe * r["square"] ** 0.5, blocks_for(r["n"], SCANNED)) for r in bands if least is not None and least <= safe * r["square"] ** 0.5]
+    bands = rows.groupBy("band").agg(F.max("norm2").alias("norm2"), F.count(F.lit(1)).alias("n")).collect()
+    safe = np.log2(model.safe()) + 1e-9  # and ties
+    unsafe = [(r["band"], safe + r["norm2"], blocks_for(r["n"], SCANNED)) for r in bands if least is not None and least <= safe + r["norm2"]]
     if not unsafe:
         return first
 
@@ -237,9 +265,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int, tables: int = TABLES, p
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
-            return lists(np.zeros(0, np.int64), np.zeros((0, dims)), [])
-        numbers = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int64).tolist()
-        return lists(left.column("vec_id").to_numpy(), _vectors(left.column("v"), dims), list(zip(numbers, _vectors(right.column("v"), dims), strict=True)))
+            return lists(*none, *none)
+        numbers = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int64)
+        return lists(left.column("vec_id").to_numpy(), _vectors(left.column("v")), numbers, _vectors(right.column("v")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

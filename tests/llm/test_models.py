@@ -105,6 +105,33 @@ def test_neighbours_behind_an_id_of_many_rows(spark):
     assert neighbours_recall(spark, ids, x) == (1.0, 20)
 
 
+def test_neighbours_of_odd_lengths_and_huge_vectors(spark):
+    rows = [(i, [1e200 * (1 + i % 7), 1e200]) for i in range(12)] + [(20 + i, [float(i), 1.0, 2.0]) for i in range(5)]
+    by = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).collect():
+        by[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert sorted(by[0]) == [(i + 1, i + 1, float("inf")) for i in range(3)]
+    assert sorted(by[20]) == [(1, 21, 5.0), (2, 22, 5.0), (3, 23, 5.0)]
+
+
+def test_recall_on_the_given_vectors(spark, sf_dir):
+    df = table(spark, sf_dir.replace("0.001", "0.01"), "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    dims = len(next(v for _, v in rows if v))
+    good = [(i, v) for i, v in rows if i is not None and v and len(v) == dims and None not in v and np.isfinite(v).all() and any(v)]
+    ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good], float)
+    got = defaultdict(set)
+    for r in ann.op4_ann(spark, sf_dir.replace("0.001", "0.01")).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = total = 0
+    for q, i in enumerate(ids):
+        if i % 20 == 0:
+            score = np.where(ids == i, -np.inf, x @ x[q])
+            want = ids[np.lexsort((ids, -score))][: min(20, len(ids) - 1)]
+            hit, total = hit + len(got[i] & set(want.tolist())), total + len(want)
+    assert total and hit / total >= 0.95
+
+
 def test_neighbours_of_small_tables(spark):
     x = np.random.default_rng(6).normal(size=(101, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
