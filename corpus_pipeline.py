@@ -9,11 +9,10 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, table
+from sparkloom.llm.common import PLACE, file_rows, materialize, placed, small_batches, table
 from sparkloom.llm.exact_dedup import dedup_exact
 from sparkloom.llm.near_dedup import near_classes
 from sparkloom.llm.packing import pack_documents
@@ -23,21 +22,10 @@ from sparkloom.llm.substring import dedup_substrings
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CAPACITY, END_ID = 4096, 1
 
-_PLACE = ("_file", "_row")
-
-
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs with the place of each row: it stays the same in every scan of the files."""
-    own = docs.select(*COLUMNS)
-    place = (F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    try:
-        return own.select(*COLUMNS, *place)
-    except AnalysisException:  # docs aren't files
-        return materialize(own, "docs").select(*COLUMNS, *place)
-
 
 def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    return docs.join(judged.where("kept").select(*_PLACE), list(_PLACE), "left_semi").select(*COLUMNS)
+    """The rows of docs, known by their places, that were judged to be kept."""
+    return placed(docs, COLUMNS).join(judged.where("kept").select(*PLACE), list(PLACE), "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +36,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
-    rows = _placed(docs)
-    return _kept(rows, dedup_exact(rows, carry=_PLACE))
+    docs = file_rows(docs, COLUMNS)
+    return _kept(docs, dedup_exact(placed(docs, COLUMNS), carry=PLACE))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, the row with the smallest doc_id."""
-    rows = _placed(docs)
-    return _kept(rows, near_classes(rows, carry=_PLACE))
+    docs = file_rows(docs, COLUMNS)
+    return _kept(docs, near_classes(docs, place=True))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
