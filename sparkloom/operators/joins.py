@@ -43,15 +43,8 @@ def join_right_outer(t: Tables) -> DataFrame:
     return rich.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "right").select("o_orderkey", "c_name")
 
 
-@R.operator("""
-SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 60) s FULL JOIN (SELECT * FROM customer WHERE c_custkey > 40 AND c_custkey < 90) c ON s_suppkey = c_custkey""")
-def join_full_outer(t: Tables) -> DataFrame:
-    c = t.customer.where("c_custkey > 40 AND c_custkey < 90")
-    return t.supplier.where("s_suppkey < 60").join(c, F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
-
-
 @R.operator("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_acctbal < c_acctbal")
-def join_full_outer_whole(t: Tables) -> DataFrame:
+def join_full_outer(t: Tables) -> DataFrame:
     on = (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_acctbal") < F.col("c_acctbal"))
     return t.supplier.join(t.customer, on, "full").select("s_suppkey", "c_custkey")
 
@@ -68,10 +61,47 @@ def join_anti_not_exists(t: Tables) -> DataFrame:
     return t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of left whose key is NOT IN the other column, with SQL's NULLs: none if it holds one; a NULL key stays only beside no rows.
+
+    One row tells of the NULLs, so the rest is a plain anti join that is dealt by the key.
+    """
+    told = right.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(other).isNull()).alias("_nulls"))
+    kept = left.join(right.where(F.col(other).isNotNull()).select(other), F.col(key) == F.col(other), "left_anti")
+    return kept.join(F.broadcast(told)).where((F.col("_nulls") == 0) & (F.col(key).isNotNull() | (F.col("_rows") == 0))).drop("_rows", "_nulls")
+
+
 @R.operator("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def join_anti_not_in(t: Tables) -> DataFrame:
-    many = t.lineitem.where("l_quantity > 45 AND l_partkey IS NOT NULL").select("l_partkey")
-    return t.part.join(many, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return not_in(t.part.select("p_partkey"), "p_partkey", t.lineitem.where("l_quantity > 45").select("l_partkey"), "l_partkey")
+
+
+@R.operator("""
+SELECT 'null among them' AS test, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT nullif(o_orderkey, 7) FROM orders)
+UNION ALL SELECT 'null key', count(*) FROM part WHERE nullif(p_partkey, 3) NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
+UNION ALL SELECT 'no rows', count(*) FROM part WHERE nullif(p_partkey, 3) NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 0)""")
+def join_anti_not_in_null(t: Tables) -> DataFrame:
+    keys = t.part.select(F.nullif("p_partkey", F.lit(3)).alias("k"))
+    cases = (
+        ("null among them", not_in(t.part.select("p_partkey"), "p_partkey", t.orders.select(F.nullif("o_orderkey", F.lit(7)).alias("o")), "o")),
+        ("null key", not_in(keys, "k", t.lineitem.where("l_quantity > 45").select("l_partkey"), "l_partkey")),
+        ("no rows", not_in(keys, "k", t.lineitem.where("l_quantity < 0").select("l_partkey"), "l_partkey")),
+    )
+    counts = [df.agg(F.lit(name).alias("test"), F.count(F.lit(1)).alias("n")) for name, df in cases]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@R.operator("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) n NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) r")
+def join_natural(t: Tables) -> DataFrame:
+    n, r = t.nation.selectExpr("n_name", "n_regionkey AS k"), t.region.selectExpr("r_name", "r_regionkey AS k")
+    return n.join(F.broadcast(r), [c for c in n.columns if c in r.columns]).select("n_name", "r_name")
+
+
+@R.operator("SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON a.n_regionkey > b.r_regionkey AND length(a.n_name) < length(b.r_name)")
+def join_theta(t: Tables) -> DataFrame:
+    """Nations and regions are 25 and 5 rows at any size."""
+    on = (F.col("n_regionkey") > F.col("r_regionkey")) & (F.length("n_name") < F.length("r_name"))
+    return t.nation.join(F.broadcast(t.region), on).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
 
 
 @R.operator("SELECT r_name, n_name FROM region CROSS JOIN nation")

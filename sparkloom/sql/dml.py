@@ -13,7 +13,7 @@ from .catalog import Catalog, Table
 from .errors import EngineError, not_supported
 from .lexer import Cursor, Token
 from .pseudonyms import ALGORITHM, digest
-from .rewrite import spark_sql
+from .rewrite import literal, spark_sql
 from .types import spark_type
 
 SECRETS = "anonymization_secret"
@@ -74,19 +74,24 @@ def insert(catalog: Catalog, cursor: Cursor, bound: set[int]) -> int:
         raise not_supported("INSERT other than VALUES")
     known: dict[str, str] = {}
     rows: list[str] = []
+    shards: set[int] = set()
     while True:
         values = cursor.parenthesized()
         if len(values) != len(names):
             raise EngineError("SQL_SYNTAX_ERROR", "a row has another number of values than columns")
         values = [_pseudonym(catalog, table, n, v, any(id(t) in bound for t in v), known) for n, v in zip(names, values, strict=True)]
-        key = values[names.index(table.shard_key)]
+        key, kind = values[names.index(table.shard_key)], spark_type(table.column(table.shard_key).sql_type)
         text = routing.literal_text(key)
         if text == "null":
             raise not_supported(f'NULL in the shard key "{table.shard_key}"')
-        if text is None:
-            text = _evaluated(catalog, key)
         given = {n: f"CAST({spark_sql(v)} AS {spark_type(c.sql_type)})" for n, v, c in zip(names, values, columns, strict=True)}
-        rows.append("(" + ", ".join([*(given.get(c.name) or _default(c) for c in table.columns), str(routing.shard_of(text, table.shards))]) + ")")
+        text = None if text is None else routing.typed_text(text, kind)
+        if text is None:  # evaluated once: the row holds the value that was routed
+            text, shown = _evaluated(catalog, given[table.shard_key])
+            given[table.shard_key] = f"CAST({literal(shown)} AS {kind})"
+        shard = routing.shard_of(text, table.shards)
+        shards.add(shard)
+        rows.append("(" + ", ".join([*(given.get(c.name) or _default(c) for c in table.columns), str(shard)]) + ")")
         if not cursor.take(","):
             break
     if not cursor.done:
@@ -95,7 +100,7 @@ def insert(catalog: Catalog, cursor: Cursor, bound: set[int]) -> int:
     frame = catalog.spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v({aliases})").select(
         *(F.col(c.physical).cast(spark_type(c.sql_type)) for c in table.columns), F.col("_shard").cast("int")
     )
-    _check(catalog, table, frame)
+    _check(catalog, table, frame, shards)
     version = table.version
     table.files += stage(catalog, table, frame.coalesce(1))
     catalog.put(table, version)
@@ -108,26 +113,34 @@ def _default(column) -> str:
     return f"CAST({spark_sql(tokens(column.default)) if column.default else 'NULL'} AS {spark_type(column.sql_type)})"
 
 
-def _evaluated(catalog: Catalog, value: list[Token]) -> str:
-    found = catalog.spark.sql(f"SELECT {spark_sql(value)} AS v").first()[0]
-    if found is None:
+def _evaluated(catalog: Catalog, value: str) -> tuple[str, str]:
+    """The text by which a value is routed, and the value as a string."""
+    found = catalog.spark.sql(f"SELECT v, CAST(v AS STRING) AS s FROM (SELECT {value} AS v)").first()
+    if found["v"] is None:
         raise not_supported("NULL in the shard key")
-    return f"'{found}'" if isinstance(found, str) else str(found)
+    return routing.key_text(found["v"]), found["s"]
 
 
-def _check(catalog: Catalog, table: Table, rows: DataFrame) -> None:
-    """NOT NULL and PRIMARY KEY of new rows (physical names)."""
-    for c in table.columns:
-        if not c.nullable and rows.where(F.col(c.physical).isNull()).limit(1).count():
-            raise EngineError("ENGINE_ERROR", f'NULL in column "{c.name}" violates NOT NULL', sqlstate="23502")
+def _check(catalog: Catalog, table: Table, rows: DataFrame, shards: set[int] | None = None) -> None:
+    """NOT NULL and PRIMARY KEY of new rows (physical names), which lie in these shards."""
+    _not_null(rows, [(c.name, c.physical) for c in table.columns if not c.nullable])
     if table.primary_key:
         key = [table.column(n).physical for n in table.primary_key]
-        twice = rows.groupBy(*key).count().where("count > 1")
-        both = rows.select(*key).join(catalog.read(table, physical=True).select(*key), key, "left_semi")
-        if twice.limit(1).count() or both.limit(1).count():
+        held = catalog.read(table, shards if table.shard_key in table.primary_key else None, physical=True)
+        both = rows.select(*key, F.lit(1).alias("_new")).unionByName(held.select(*key, F.lit(0).alias("_new")))
+        if both.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("_new").alias("new")).where("n > 1 AND new = 1").limit(1).count():
             raise EngineError("ENGINE_ERROR", f'a row violates the primary key of "{table.name}"', sqlstate="23505")
 
 
+def _not_null(rows: DataFrame, columns: list[tuple[str, str]]) -> None:
+    """One pass over rows for all columns (name, name in rows) that may not be NULL."""
+    if columns:
+        found = rows.agg(*(F.max(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, (_, c) in enumerate(columns))).first()
+        for (name, _), null in zip(columns, found, strict=True):
+            if null:
+                raise EngineError("ENGINE_ERROR", f'NULL in column "{name}" violates NOT NULL', sqlstate="23502")
+
+
 def append(catalog: Catalog, name: str, rows: DataFrame) -> None:
     """Append a whole frame to a table; its columns are found by name. Keys are hashed batch by batch on the executors."""
     table = catalog.get(name)
@@ -176,7 +189,8 @@ def _target(table: Table, where: list[Token]) -> set[int] | None:
         return None
     if text == "null":
         raise not_supported("a comparison of the shard key with NULL")
-    return {routing.shard_of(text, table.shards)}
+    text = routing.typed_text(text, spark_type(table.column(table.shard_key).sql_type))
+    return None if text is None else {routing.shard_of(text, table.shards)}
 
 
 def _where(cursor: Cursor) -> list[Token]:
@@ -236,9 +250,7 @@ def _rewrite(catalog: Catalog, table: Table, where: list[Token], change, require
     old = [f for f in table.files if tail(f[1]) in touched]
     part = Table(**{**table.__dict__, "files": old})
     after = change(catalog.read(part), hit)
-    for name in required:
-        if after.where(F.col(f"`{name}`").isNull()).limit(1).count():
-            raise EngineError("ENGINE_ERROR", f'NULL in column "{name}" violates NOT NULL', sqlstate="23502")
+    _not_null(after, [(name, name) for name in required])
     physical = after.select(*(F.col(f"`{c.name}`").alias(c.physical) for c in table.columns), "_shard")
     version = table.version
     new = stage(catalog, table, physical)

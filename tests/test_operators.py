@@ -46,7 +46,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 def test_sorts_return_whole_tables_with_nulls_in_place(spark, sf_dir):
     folder = sf_dir.replace("0.001", "0.01")
-    for name, source in (("order_multi_key_whole", "customer"), ("order_nulls_first_whole", "orders"), ("order_nulls_last_whole", "orders")):
+    for name, source in (("order_multi_key", "customer"), ("order_nulls_first", "orders"), ("order_nulls_last", "orders")):
         got = registry.queries()[name](spark, folder).toPandas().sort_values("place")
         assert got.place.tolist() == list(range(1, spark.read.parquet(f"{folder}/{source}.parquet").count() + 1))
         if "nulls" in name:
@@ -60,7 +60,7 @@ def test_numbered_empty(spark):
 
 def test_null_order_and_full_join_cover_whole_tables(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
-    assert registry.queries()["sql_null_order_whole"](spark, sf_dir).count() == read("orders")
-    got = registry.queries()["join_full_outer_whole"](spark, sf_dir).toPandas()
+    assert registry.queries()["sql_null_order"](spark, sf_dir).count() == read("orders")
+    got = registry.queries()["join_full_outer"](spark, sf_dir).toPandas()
     assert got.s_suppkey.nunique() == read("supplier") and got.c_custkey.nunique() == read("customer")
     assert got.s_suppkey.isna().any() and got.c_custkey.isna().any() and got.dropna().shape[0] > 0
