@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .blocks import bounded
 from .blocks_html import leaves
-from .common import table
+from .common import lean, table
 from .labeller import Labeller, trained
 
 
@@ -27,6 +27,7 @@ def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     labeller = model or trained()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             pages_ = batch.column(2).to_pylist()
             texts: list[str] = []

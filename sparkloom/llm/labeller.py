@@ -7,31 +7,49 @@ import zlib
 
 import numpy as np
 
-from .blocks_html import Leaf, leaves
+from .blocks_html import Element, Leaf, leaves
 from .hashing import words
 from .synthetic_pages import MARK, marked_pages
 
 PATH, WORDS, NUMBERS = 256, 32, 7
 WIDTH = PATH + WORDS + NUMBERS
 HIDDEN = 24
+#: Blocks of a page that are run through the network at once; longer pages go through it in portions.
+LONG = 4096
 
 
 @functools.lru_cache(1 << 16)
-def _path_slots(path: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
-    out = []
-    for names in path:
-        out += [zlib.crc32(n.encode()) % PATH for n in names]
-    if path:
-        out.append(zlib.crc32(("own " + path[-1][0]).encode()) % PATH)
-    return tuple(set(out))
-
-
-def features(blocks: list[Leaf]) -> np.ndarray:
-    """(blocks, WIDTH): hashed tag path, hashed words, and figures on lengths, links, marks and place."""
-    n = len(blocks)
+def _slots(names: tuple[str, ...]) -> tuple[int, int]:
+    """Bits of an element's names, and the bit of its tag as the innermost one."""
+    own = 0
+    for n in names:
+        own |= 1 << zlib.crc32(n.encode()) % PATH
+    return own, 1 << zlib.crc32(("own " + names[0]).encode()) % PATH
+
+
+def _path_bits(element: Element | None) -> int:
+    """The bits of all names on the path to an element, kept with each element, so that depth costs nothing."""
+    if element is None:
+        return 0
+    missing, at = [], element
+    while at is not None and at.memo is None:
+        missing.append(at)
+        at = at.parent
+    bits = at.memo if at is not None else 0
+    for e in reversed(missing):
+        e.memo = bits = bits | _slots(e.names)[0]
+    return element.memo | _slots(element.names)[1]
+
+
+def features(blocks: list[Leaf], first: int = 0, of: int = 0) -> np.ndarray:
+    """(blocks, WIDTH): hashed tag path, hashed words, and figures on lengths, links, marks and place.
+
+    The blocks are those from `first` on of a page of `of` blocks, or a whole page.
+    """
+    n, of = len(blocks), of or len(blocks)
     x = np.zeros((n, WIDTH), np.float32)
-    for i, b in enumerate(blocks):
-        x[i, list(_path_slots(b.path))] = 1
+    bits = b"".join(_path_bits(b.element).to_bytes(PATH // 8, "little") for b in blocks)
+    x[:, :PATH] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").reshape(n, PATH)
     data = [b.text.lower().encode() for b in blocks]
     edges = np.cumsum([0, *(len(d) + 1 for d in data)])
     hashed, start, _ = words(b"\n".join(data))
@@ -40,7 +58,7 @@ def features(blocks: list[Leaf]) -> np.ndarray:
     size = np.maximum(np.bincount(owner, minlength=n), 1)
     x[:, PATH : PATH + WORDS] = np.sqrt(counts / size[:, None])
     chars = np.array([len(b.text) for b in blocks])
-    place = np.arange(n)
+    place = first + np.arange(n)
     x[:, PATH + WORDS :] = np.stack([
         np.log1p(chars) / 6,
         np.log1p(size) / 5,
@@ -48,7 +66,7 @@ def features(blocks: list[Leaf]) -> np.ndarray:
         [sum(map(b.text.count, ".,;:!?")) / len(b.text) * 10 for b in blocks],
         [b.text[-1] in ".!?\"'”»)" for b in blocks],
         1 / (1 + place),
-        1 / (n - place),
+        1 / (of - place),
     ], 1)
     return x
 
@@ -70,11 +88,11 @@ class Labeller:
         w["o"], w["q"] = rng.normal(0, 0.1, 2 * HIDDEN).astype(np.float32), np.zeros(1, np.float32)
         return cls(w)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """Outputs (steps, pages, HIDDEN) of one direction; x: (steps, pages, WIDTH)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple | None = None):
+        """Outputs (steps, pages, HIDDEN) of one direction, what training needs, and the last state; x: (steps, pages, WIDTH)."""
         w, steps = self.weights, range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         fed = x @ w["x" + d] + w["c" + d]
-        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
         out, trace = np.zeros((*x.shape[:2], HIDDEN), np.float32), {}
         for t in steps:
             z = fed[t] + h @ w["h" + d]
@@ -87,7 +105,7 @@ class Labeller:
                 trace[t] = (h, c, i, f, o, new, th, m)
             h, c = np.where(m, o * th, h), c2
             out[t] = h
-        return out, trace
+        return out, trace, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate((self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]), 2)
@@ -124,22 +142,36 @@ class Labeller:
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         a = 0
-        while a < len(order):
+        while a < len(order) and len(pages[order[a]]) <= LONG:
             b = a + 1
-            while b < len(order) and b - a < 128 and (b - a + 1) * len(pages[order[b]]) <= 8192:
+            while b < len(order) and len(pages[order[b]]) <= LONG and b - a < 128 and (b - a + 1) * len(pages[order[b]]) <= 8192:
                 b += 1
             x, mask = batch([features(pages[i]) for i in order[a:b]])
             z = self.logits(x, mask)
             for k, i in enumerate(order[a:b]):
                 out[i] = z[: len(pages[i]), k] > 0
             a = b
+        for i in order[a:]:
+            out[i] = self._label_long(pages[i])
         return out
 
+    def _label_long(self, blocks: list[Leaf]) -> np.ndarray:
+        """The same for one page, LONG blocks at a time in each direction; only a number for each block is held for the whole page."""
+        z = np.full(len(blocks), self.weights["q"][0], np.float32)
+        starts = range(0, len(blocks), LONG)
+        for d, order, own in (("f", starts, slice(0, HIDDEN)), ("b", reversed(starts), slice(HIDDEN, None))):
+            state = None
+            for a in order:
+                x = features(blocks[a : a + LONG], a, len(blocks))[:, None]
+                out, _, state = self._run(x, np.ones(x.shape[:2], bool), d, False, state)
+                z[a : a + LONG] += out[:, 0] @ self.weights["o"][own]
+        return z > 0
+
 
 def labelled(blocks: list[Leaf]) -> tuple[list[Leaf], np.ndarray]:
     """Blocks of a marked page without the marks, and which of them had one."""
     main = np.array([b.text.startswith(MARK) for b in blocks], np.float32)
-    return [Leaf(b.text.replace(MARK, "") or "-", b.path, b.linked) for b in blocks], main
+    return [Leaf(b.text.replace(MARK, "") or "-", b.element, b.linked) for b in blocks], main
 
 
 def batch(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
