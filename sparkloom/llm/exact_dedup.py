@@ -1,8 +1,9 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash.
 
-The index is a Parquet table (digest, keep_id) in buckets of the digest, sorted by it, so the sort-merge
-anti-join of a new batch reads it without a shuffle or a sort. A batch is digested once, reduced to one row per
-digest (partial aggregation first, so a third of all rows may share a text), anti-joined and appended.
+The index is a Parquet table (digest, keep_id) in buckets of the digest, its files sorted by it, so the sort-merge
+anti-join of a new batch reads it without a shuffle. Each batch adds a file to a bucket; with more than one of them Spark
+sorts the bucket's rows as it reads, until compact() makes one sorted file a bucket again. A batch is digested once, reduced to one
+row per digest (partial aggregation first, so a third of all rows may share a text), anti-joined and appended.
 
 Defined results:
 * null text counts as the empty text; empty texts are equal to each other;
@@ -14,6 +15,8 @@ Defined results:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +33,54 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests of all texts kept so far, at a path; opening it again in another session goes on with it."""
+    """Digests of all texts kept so far, at a path; opening it again in another session goes on with it.
+
+    The table's name in the catalog comes from the whole path, so indexes are apart whatever their folders are called. The number
+    of buckets is kept with the files: opening an index with another number is an error.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + path.rstrip("/").rpartition("/")[2].replace("-", "_").replace(".", "_")
+        fs, at = self._at(path)
+        whole = fs.makeQualified(at).toString()
+        self.name = "digest_index_" + hashlib.sha256(whole.encode()).hexdigest()[:32]
+        held = self._kept_buckets()
+        if held is None:
+            self._keep_buckets()
+        elif held != buckets:
+            raise ValueError(f"the index at {path} has {held} buckets, not {buckets}")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{whole}'"
         )
 
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _kept_buckets(self) -> int | None:
+        """The number in the names of files `_buckets-N`, which Spark does not read."""
+        fs, at = self._at(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return next((int(n[9:]) for n in names if n.startswith("_buckets-")), None)
+
+    def _keep_buckets(self) -> None:
+        fs, at = self._at(f"{self.path}/_buckets-{self.buckets}")
+        fs.create(at, True).close()
+
+    def compact(self, path: str) -> DigestIndex:
+        """A copy of the index at another path with one sorted file a bucket."""
+        copy = DigestIndex(self.spark, path, self.buckets)
+        self.table().repartition(self.buckets, "digest").write.insertInto(copy.name)
+        self.spark.catalog.refreshTable(copy.name)
+        return copy
+
+    def drop(self) -> None:
+        """Forget the index and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        fs, at = self._at(self.path)
+        fs.delete(at, True)
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 

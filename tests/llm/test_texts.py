@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -109,6 +109,19 @@ def test_the_index_goes_on(spark):
     assert "Exchange" not in again.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_indexes_of_like_names_are_apart(spark):
+    first, second = (exact_dedup.DigestIndex(spark, f"{scratch(spark, 'place')}/index", 4) for _ in range(2))
+    assert [r.kept for r in first.add(frame(spark, [(1, "x")])).collect()] == [True]
+    assert [(r.keep_id, r.kept) for r in second.add(frame(spark, [(2, "x")])).collect()] == [(2, True)]
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, first.path, 8)
+    first.add(frame(spark, [(3, "y"), (4, "x")])).collect()
+    copy = first.compact(scratch(spark, "compact"))
+    assert {r.keep_id for r in copy.table().collect()} == {1, 3} and len(copy.table().inputFiles()) <= 4
+    first.drop()
+    assert [r.kept for r in copy.add(frame(spark, [(5, "y"), (6, "z")])).collect()] == [False, True]
+
+
 @given(st.lists(st.integers(0, 5000), max_size=700))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(steps):
@@ -229,10 +242,12 @@ def test_near(spark, monkeypatch, bucket, chunk):
     monkeypatch.setattr(near_dedup, "BUCKET", bucket)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     rows = documents()
+    line = [f"n{i}" for i in range(12)]  # few runs, often: the similarity of plain sets would be another
+    rows += [(700 + i, " ".join(line * n)) for i, n in enumerate((10, 11, 14, 30))]
     sets = []
     for _, x in rows:
         w = (x or "").split()
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)] if w else []))
     parent = list(range(len(rows)))
 
     def root(i):
@@ -242,7 +257,7 @@ def test_near(spark, monkeypatch, bucket, chunk):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if sets[i] and (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
                 parent[root(i)] = root(j)
     classes = defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -251,7 +266,7 @@ def test_near(spark, monkeypatch, bucket, chunk):
     for ids in classes.values():
         low = min((d for d in ids if d is not None), default=None)
         want += [(d, low, len(ids)) for d in ids]
-    got = near_dedup.near_classes(frame(spark)).collect()
+    got = near_dedup.near_classes(frame(spark, rows)).collect()
     assert multiset(tuple(r)[:3] for r in got) == multiset(want)
     assert sum(r.kept for r in got) == len(classes)
     assert near_dedup.near_classes(empty(spark)).collect() == []
