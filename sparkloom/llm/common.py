@@ -44,10 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Only where the session names none and runs in a single process, as in tests, a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,13 +64,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process; call it once the results that read them have been written."""
-    jvm, count = spark._jvm, len(_made)
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+def made() -> int:
+    """The number of intermediate tables of this process that are not released."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the intermediate tables of this process but the first `since` and the last `keep`.
+
+    Call it once the results that read them have been written.
+    """
+    jvm, gone = spark._jvm, _made[since : len(_made) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+    del _made[since : len(_made) - keep]
+    return len(gone)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:

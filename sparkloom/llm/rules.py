@@ -36,8 +36,8 @@ def _lost(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with the statistics of `text` as columns, and their names."""
+def with_statistics(docs: DataFrame, **more: Column) -> tuple[DataFrame, list[str]]:
+    """docs with the statistics of `text` as columns, and their names; further columns stand in the same projection."""
     text = F.coalesce(F.col("text"), F.lit(""))
     first = docs.withColumns({
         "_w": F.filter(F.split(text, SPACE), lambda w: w != ""),
@@ -63,7 +63,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         "log_words": F.log1p(count.cast("double")),
     }
     named = {f"_s_{k}": v for k, v in stats.items()}
-    return first.withColumns(named).drop("_w", "_l", "_n"), list(named)
+    return first.withColumns(named | more).drop("_w", "_l", "_n"), list(named)
 
 
 class RuleEnsemble:
@@ -214,6 +214,16 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, name: str = "score") ->
     return stats.withColumn(name, model.column(names)).drop(*names)
 
 
+def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float) -> DataFrame:
+    """The rows of docs whose score is at least the threshold.
+
+    The planner moves a filter below a projection and writes its expressions out there, so each rule would work its statistics out from
+    the text again. It does not move one below a number of its own for each row, so that stands beside the statistics.
+    """
+    stats, names = with_statistics(docs, _at=F.monotonically_increasing_id())
+    return stats.where((model.column(names) >= threshold) & (F.col("_at") >= 0)).drop(*names, "_at")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))

@@ -6,6 +6,9 @@ def test_release(spark):
     kept = common.materialize(frame(spark, [(1, "a")]), "kept")
     path = common._made[-1]
     assert kept.count() == 1
+    before = common.made()
+    common.materialize(frame(spark, [(1, "b")]), "more")
+    assert common.release(spark, before - 1, keep=1) == 1 and common.made() == before
     assert common.release(spark) >= 1 and common._made == []
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
