@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import PLACE, file_rows, materialize, placed, small_batches, table
+from sparkloom.llm.common import PLACE, file_rows, made, materialize, placed, release, small_batches, table
 from sparkloom.llm.exact_dedup import dedup_exact
 from sparkloom.llm.near_dedup import near_classes
 from sparkloom.llm.packing import pack_documents
-from sparkloom.llm.rules import THRESHOLD, fit_quality, score_quality
+from sparkloom.llm.rules import THRESHOLD, accepted, fit_quality
 from sparkloom.llm.substring import dedup_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,24 +30,28 @@ def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
+    small_batches(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs.select(*COLUMNS), model, "_score").where(F.col("_score") >= THRESHOLD).select(*COLUMNS)
+    return accepted(docs.select(*COLUMNS), model, THRESHOLD).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
+    small_batches(spark)
     docs = file_rows(docs, COLUMNS)
     return _kept(docs, dedup_exact(placed(docs, COLUMNS), carry=PLACE))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, the row with the smallest doc_id."""
+    small_batches(spark)
     docs = file_rows(docs, COLUMNS)
     return _kept(docs, near_classes(docs, place=True))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that start in a document with a smaller doc_id; texts that lose all their words go."""
+    small_batches(spark)
     found = dedup_substrings(docs, text=True, carry=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     left = found.where(~changed | (F.col("n_removed") < F.col("n_words")))
@@ -60,6 +64,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, with their sequences and places in them."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY)
 
 
@@ -68,9 +73,10 @@ STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, held, keep=1)  # what the stage read and made on its way; its result is the last table made
     return docs
 
 

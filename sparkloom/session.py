@@ -47,6 +47,10 @@ def apply_semantics(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder that the driver and all executors share: below spark.checkpoint.dir, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    """A fresh folder that the driver and all executors share: below spark.checkpoint.dir, or a temporary one where a single process runs all."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
