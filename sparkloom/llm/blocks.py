@@ -44,9 +44,11 @@ def pack_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Rows are dealt as they lie in their files, whatever their doc_ids, and a task that runs again makes the same blocks.
     """
 
+    most = BLOCK_BYTES
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        for block, rows in block_batches(batches):
+        for block, rows in block_batches(batches, most):
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "pack": pa.array([_pack(rows)], pa.binary())})
 
     rows = file_rows(docs, ("doc_id", "text", *carry)).select(
@@ -55,9 +57,9 @@ def pack_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return rows.mapInArrow(pack, "block long, pack binary")
 
 
-def block_batches(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[tuple[int, pa.Table]]:
-    """The blocks of a task: their numbers and rows. The second column is the one whose bytes count."""
-    most, first, count, held, size = most or BLOCK_BYTES, TaskContext.get().partitionId() << 32, 0, [], 0
+def block_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """The blocks of a task: their numbers and rows. The second column is the one whose bytes count, up to `most` in a block."""
+    first, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
     for batch in batches:
         nbytes = pc.binary_length(batch.column(1)).to_pylist() if pa.types.is_string(batch.column(1).type) else [batch.nbytes // max(1, batch.num_rows)] * batch.num_rows
         start = 0

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from .blocks import block_batches, bounded, expand, squeeze
 from .common import blocks_for, file_rows, lean, shuffle_partitions, source_bytes, table
 from .hashing import spans
@@ -86,9 +87,11 @@ def _coded(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
     split = encoder(path).spark_words(F.coalesce(F.col("text"), F.lit("")))
     rows = source.select(F.col("doc_id").cast("long"), split.alias("words"))
 
+    most = blocks.BLOCK_BYTES
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        for block, held in block_batches(batches):
+        for block, held in block_batches(batches, most):
             lists = held.column("words").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             coded = lists.flatten().dictionary_encode()

@@ -58,6 +58,24 @@ def test_bpe(spark, monkeypatch):
     assert {r.doc_id: bytes(r.decoded) for r in back} == {1: b"ab cd", 2: b""}
 
 
+def test_blocks_follow_the_files(spark, monkeypatch):
+    """Rows without doc_id spread over blocks like any others, and blocks are the same when they are made again."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1000)
+    df = frame(spark, [(None, f"some words of text number {i}") for i in range(400)])
+    packs = blocks.pack_blocks(df)
+    got = packs.collect()
+    assert len(got) >= 8 and sorted(map(tuple, got)) == sorted(map(tuple, packs.collect()))
+    sizes = [blocks.unpack([pa.scalar(bytes(r.pack), pa.binary())]).num_rows for r in got]
+    assert sum(sizes) == 400 and max(sizes) <= 40
+
+
+def test_messages_of_a_block_are_bounded():
+    words = pa.array([f"w{i}" for i in range(5000)])
+    order, begin = bpe._dealt(words, 64)
+    assert sorted(order) == list(range(5000)) and len(begin) == 65 and np.diff(begin).max() < 150
+    assert bpe._dealt(words, 64)[0].tolist() == order.tolist()
+
+
 def test_substrings(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
     assert len({(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}) == substring.PERIOD
