@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,9 +20,13 @@ from .types import spark_type
 SECRETS = "anonymization_secret"
 
 
-def stage(catalog: Catalog, table: Table, rows: DataFrame) -> list[tuple[int, str]]:
-    """Write physical rows with `_shard` to new files of the table; returns them."""
-    folder = f"{table.folder}/_stage=s{uuid.uuid4().hex}"
+#: Files of a shard and tier that small INSERTs may leave; then they become one file of the next tier.
+TIER_FILES = 64
+
+
+def stage(catalog: Catalog, table: Table, rows: DataFrame, tier: int | None = None) -> list[tuple[int, str]]:
+    """Write physical rows with `_shard` to new files of the table; returns them. Files of small INSERTs have a tier."""
+    folder = f"{table.folder}/_stage={'s' if tier is None else f't{tier}x'}{uuid.uuid4().hex}"
     rows.write.partitionBy("_shard").parquet(folder)
     found = []
     for part in catalog.files.names(folder):
@@ -30,6 +35,34 @@ def stage(catalog: Catalog, table: Table, rows: DataFrame) -> list[tuple[int, st
     return found
 
 
+def _merge_tiers(catalog: Catalog, table: Table, shards: set[int]) -> None:
+    """Make one file of each tier that is full, so n single INSERTs leave files in proportion to log n and write each row log n times."""
+    tier = 0
+    while True:
+        mark = f"/_stage=t{tier}x"
+        own = [f for f in table.files if f[0] in shards and mark in f[1]]
+        count = Counter(f[0] for f in own)
+        full = [f for f in own if count[f[0]] >= TIER_FILES]
+        if full:
+            rows = catalog.read(Table(**{**table.__dict__, "files": full}), physical=True)
+            made = stage(catalog, table, rows.repartition(len(set(f[0] for f in full)), "_shard"), tier + 1)
+            table.files = [f for f in table.files if f not in set(full)] + made
+        elif not any(f"/_stage=t{tier + 1}x" in f[1] for f in table.files):
+            return
+        tier += 1
+
+
+def vacuum(catalog: Catalog, name: str) -> int:
+    """Delete folders of files that no kept record of a table names; returns how many."""
+    table, gone = catalog.get(name), 0
+    live = {path.rpartition("/_shard=")[0].rpartition("/")[2] for _, path in catalog.kept_files(name)}
+    for folder in catalog.files.names(table.folder):
+        if folder.startswith("_stage=") and folder not in live:
+            catalog.files.delete(f"{table.folder}/{folder}")
+            gone += 1
+    return gone
+
+
 def _secret(catalog: Catalog, id_: str, known: dict[str, str]) -> str:
     if id_ not in known:
         secret = catalog.secrets().get(id_)
@@ -102,7 +135,8 @@ def insert(catalog: Catalog, cursor: Cursor, bound: set[int]) -> int:
     )
     _check(catalog, table, frame, shards)
     version = table.version
-    table.files += stage(catalog, table, frame.coalesce(1))
+    table.files += stage(catalog, table, frame.coalesce(1), 0)
+    _merge_tiers(catalog, table, shards)
     catalog.put(table, version)
     return len(rows)
 
