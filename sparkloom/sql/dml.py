@@ -227,70 +227,107 @@ def _target(table: Table, where: list[Token]) -> set[int] | None:
     return None if text is None else {routing.shard_of(text, table.shards)}
 
 
-def _where(cursor: Cursor) -> list[Token]:
-    found = cursor.until("RETURNING") if cursor.take("WHERE") else []
-    if not cursor.done:
-        raise not_supported(cursor.peek().text)
-    return found
+def _alias(cursor: Cursor, table: Table, *stops: str) -> str:
+    """The name by which a statement calls its table."""
+    cursor.take("AS")
+    return cursor.identifier() if cursor.peek().is_name and cursor.peek().upper not in stops else table.name
 
 
-def update(catalog: Catalog, cursor: Cursor, bound: set[int]) -> int:
+def update(catalog: Catalog, cursor: Cursor, bound: set[int], resolve) -> int:
+    """resolve: makes the relations that tokens name readable and gives their SQL."""
     table = catalog.get(cursor.qualified()[1])
+    alias = _alias(cursor, table, "SET")
     cursor.expect("SET")
     known: dict[str, str] = {}
-    changes: dict[str, str] = {}
+    changes: dict[str, list[Token]] = {}
     while True:
         if cursor.peek().text == "(":
             raise not_supported("assigning to a list of columns")
         name = cursor.identifier()
-        column = table.column(name)
+        table.column(name)
         if name == table.shard_key:
             raise not_supported(f'changing the shard key "{name}"')
         cursor.expect("=")
         value = cursor.until(",", "WHERE", "FROM", "RETURNING")
-        value = _pseudonym(catalog, table, name, value, any(id(t) in bound for t in value), known)
-        changes[name] = f"CAST({spark_sql(value)} AS {spark_type(column.sql_type)})"
+        changes[name] = _pseudonym(catalog, table, name, value, any(id(t) in bound for t in value), known)
         if not cursor.take(","):
             break
-    where = _where(cursor)
+    others = cursor.until("WHERE", "RETURNING") if cursor.take("FROM") else []
+    return _rewrite(catalog, table, alias, others, _where(cursor), changes, resolve)
 
-    def changed(rows: DataFrame, hit) -> DataFrame:
-        return rows.select(*(F.when(hit, F.expr(changes[c.name])).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in changes else F.col(f"`{c.name}`") for c in table.columns), "_shard")
 
-    return _rewrite(catalog, table, where, changed, [c for c in changes if not table.column(c).nullable])
-
-
-def delete(catalog: Catalog, cursor: Cursor) -> int:
+def delete(catalog: Catalog, cursor: Cursor, resolve) -> int:
     cursor.expect("FROM")
     table = catalog.get(cursor.qualified()[1])
-    return _rewrite(catalog, table, _where(cursor), lambda rows, hit: rows.where(~hit), [])
+    alias = _alias(cursor, table, "WHERE", "USING", "RETURNING")
+    others = cursor.until("WHERE", "RETURNING") if cursor.take("USING") else []
+    return _rewrite(catalog, table, alias, others, _where(cursor), None, resolve)
+
+
+def _where(cursor: Cursor) -> list[Token]:
+    found = cursor.until("RETURNING") if cursor.take("WHERE") else []
+    if not cursor.done:
+        raise not_supported(cursor.peek().text)
+    return found
 
 
-def _rewrite(catalog: Catalog, table: Table, where: list[Token], change, required: list[str]) -> int:
-    """Write anew the files that hold rows of the WHERE clause; the others stay."""
-    shards = _target(table, where)
-    hit = F.coalesce(F.expr(spark_sql(where)), F.lit(False)) if where else F.lit(True)
-    rows = catalog.read(table, shards)
-    found = rows.where(hit)
+def _rewrite(catalog: Catalog, table: Table, alias: str, others: list[Token], where: list[Token], changes: dict[str, list[Token]] | None, resolve) -> int:
+    """Write anew the files that hold rows of the WHERE clause; the others stay. changes: new values, None to delete.
+
+    One query tells the places of the rows that are hit, and their new values; it may name other relations and hold subqueries. Of
+    several rows that a row of the table meets, one gives the values.
+    """
+    shards = None if others else _target(table, where)  # a term may be of another relation
+    view = f"_target_{uuid.uuid4().hex}"
+    place = (F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     live = [f for f in table.files if shards is None or f[0] in shards]
-    if not live:
-        found.limit(0).count()  # names are checked all the same
-        return 0
-    by_file = {r[0]: r[1] for r in catalog.read(table, shards, physical=True).select(*(F.col(c.physical).alias(c.name) for c in table.columns), F.col("_metadata.file_path").alias("_path")).where(hit).groupBy("_path").agg(F.count(F.lit(1))).collect()}
-    if not by_file:
-        return 0
-    tail = lambda p: p.rpartition(table.folder.rpartition("/")[2])[2]
-    touched = {tail(p) for p in by_file}
-    old = [f for f in table.files if tail(f[1]) in touched]
-    part = Table(**{**table.__dict__, "files": old})
-    after = change(catalog.read(part), hit)
-    _not_null(after, [(name, name) for name in required])
-    physical = after.select(*(F.col(f"`{c.name}`").alias(c.physical) for c in table.columns), "_shard")
-    version = table.version
-    new = stage(catalog, table, physical)
-    table.files = [f for f in table.files if f not in old] + new
-    catalog.put(table, version)
-    return sum(by_file.values())
+    rows = catalog.read(table, shards, physical=True).select(*(F.col(c.physical).alias(c.name) for c in table.columns), *(place if live else (F.lit("").alias("_path"), F.lit(0).alias("_row"))))
+    rows.createOrReplaceTempView(view)
+    try:
+        values = [f"CAST({spark_sql(v)} AS {spark_type(table.column(n).sql_type)}) AS _v{i}" for i, (n, v) in enumerate((changes or {}).items())]
+        called = "`" + alias.replace("`", "``") + "`"
+        text = f"SELECT {', '.join([f'{called}._path', f'{called}._row', *values])} FROM {view} AS {called}"
+        if others:
+            text += ", " + resolve(others, True)
+        if where:
+            text += f" WHERE {resolve(where, False)}"
+        found = catalog.spark.sql(text)
+        if others:
+            found = found.dropDuplicates(["_path", "_row"])
+        if not live:
+            found.limit(0).count()  # names are checked all the same
+            return 0
+        hits = materialized(catalog, table, found)
+        by_file = {r[0]: r[1] for r in hits.groupBy("_path").agg(F.count(F.lit(1))).collect()}
+        if not by_file:
+            return 0
+        tail = lambda p: p.rpartition(table.folder.rpartition("/")[2])[2]
+        touched = {tail(p) for p in by_file}
+        old = [f for f in table.files if tail(f[1]) in touched]
+        part = Table(**{**table.__dict__, "files": old})
+        every = catalog.read(part, physical=True).select(*(c.physical for c in table.columns), "_shard", *place)
+        if changes is None:
+            after = every.join(hits, ["_path", "_row"], "left_anti")
+        else:
+            number = {n: i for i, n in enumerate(changes)}
+            met = every.join(hits.withColumn("_hit", F.lit(True)), ["_path", "_row"], "left")
+            after = met.select(*((F.when(F.col("_hit"), F.col(f"_v{number[c.name]}")).otherwise(F.col(c.physical)).alias(c.physical) if c.name in number else F.col(c.physical)) for c in table.columns), "_shard")
+            _not_null(after, [(c.name, c.physical) for c in table.columns if c.name in number and not c.nullable])
+        physical = after.select(*(c.physical for c in table.columns), "_shard")
+        version = table.version
+        new = stage(catalog, table, physical)
+        table.files = [f for f in table.files if f not in old] + new
+        catalog.put(table, version)
+        return sum(by_file.values())
+    finally:
+        catalog.spark.catalog.dropTempView(view)
+
+
+def materialized(catalog: Catalog, table: Table, found: DataFrame) -> DataFrame:
+    """The hits of a statement, written once beside the table's files: what they name must not change between two scans."""
+    folder = f"{table.folder}/_stage=h{uuid.uuid4().hex}"
+    found.write.parquet(folder)
+    return catalog.spark.read.schema(found.schema).parquet(folder)
 
 
 def bind(items: list[Token], params: list) -> tuple[list[Token], set[int]]:
