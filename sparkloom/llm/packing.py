@@ -43,8 +43,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Pieces in a range partition, about.
 PARTITION_PIECES = 1 << 16
-#: Sizes of a range in which a sweep begins, and how many ranges are swept together next. With wider steps the last sweep, which goes
-#: over the whole once a round, has more to do, and rounds are more.
+#: Sizes of a range in which a sweep begins, and how many ranges are swept together next.
 WIDTH, RANGES = 512, 2
 
 
@@ -149,12 +148,10 @@ def _swept(state: DataFrame, width: int, capacity: int) -> DataFrame:
         runs = list(zip(*(group.column(c).to_pylist() for c in ("size", "first", "n")), strict=True))
         pieces, gaps, bins = ([r for r, k in zip(runs, kind, strict=True) if k == what] for what in (PIECE, GAP, BINS))
         out = []
+        out, pieces, gaps = sweep_range(pieces, gaps, low, low + width - 1, capacity)
         if width < capacity:
-            out, pieces, gaps = sweep_range(pieces, gaps, low, low + width - 1, capacity)
             out += [(BINS, *b, None, None) for b in bins]
         else:
-            out, filled, pieces, gaps = sweep(pieces, gaps, capacity)
-            gaps += filled
             more, pieces, opened, count = open_bins(pieces, gaps, sum(n for _, _, n in bins), capacity)
             out, gaps = [*out, *more, (BINS, 1, 0, count, None, None)], gaps + opened
         out += [(PIECE, *x, None, None) for x in pieces] + [(GAP, *x, None, None) for x in gaps]
