@@ -64,11 +64,11 @@ def join_anti_not_exists(t: Tables) -> DataFrame:
 def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
     """Rows of left whose key is NOT IN the other column, with SQL's NULLs: none if it holds one; a NULL key stays only beside no rows.
 
-    One row tells of the NULLs, so the rest is a plain anti join that is dealt by the key.
+    Scalar subqueries tell of the NULLs, so the rest is a plain anti join that is dealt by the key.
     """
-    told = right.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(other).isNull()).alias("_nulls"))
+    rows, nulls = (right.agg(x.alias("n")).scalar() for x in (F.count(F.lit(1)), F.count_if(F.col(other).isNull())))
     kept = left.join(right.where(F.col(other).isNotNull()).select(other), F.col(key) == F.col(other), "left_anti")
-    return kept.join(F.broadcast(told)).where((F.col("_nulls") == 0) & (F.col(key).isNotNull() | (F.col("_rows") == 0))).drop("_rows", "_nulls")
+    return kept.where((nulls == 0) & (F.col(key).isNotNull() | (rows == 0)))
 
 
 @R.operator("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
