@@ -44,7 +44,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces in a range partition, about.
 PARTITION_PIECES = 1 << 16
 #: Sizes of a range in which a sweep begins, and how many ranges are swept together next.
-WIDTH, RANGES = 512, 2
+WIDTH, RANGES = 1024, 4
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
