@@ -226,3 +226,12 @@ def sql_qualify_cte(t: Tables) -> DataFrame:
 @R.operator("SELECT p_brand, p_partkey, CAST(sum(p_size) OVER w AS BIGINT) AS run FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
 def sql_named_window(t: Tables) -> DataFrame:
     return engine(t, "part").query("SELECT p_brand, p_partkey, CAST(sum(p_size) OVER w AS BIGINT) AS run FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
+
+
+@R.operator("SELECT * FROM (VALUES ('a', 'id', 'int4', 1, true), ('a', 'name', 'text', 2, false), ('a', 'price', 'numeric', 3, false)) v(relname, attname, typname, attnum, attnotnull)")
+def pg_catalog_columns(t: Tables) -> DataFrame:
+    own = engine(t)
+    own.execute("CREATE TABLE a (id INTEGER NOT NULL, name VARCHAR, price DECIMAL(10, 2))")
+    return own.query("""
+        SELECT relname, attname, typname, attnum, attnotnull FROM pg_catalog.pg_class c JOIN pg_catalog.pg_namespace n ON c.relnamespace = n.oid
+        JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_catalog.pg_type y ON y.oid = a.atttypid WHERE nspname = 'public' AND relkind = 'r'""")
