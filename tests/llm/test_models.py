@@ -2,12 +2,15 @@
 
 import hashlib
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkloom.llm import ann, chat, html_text, labeller, rules
@@ -247,30 +250,91 @@ def test_darts_estimate_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def written(spark, path, rows, labels):
+    clashing = {n: F.lit(1) for n in ("extra", "_file", "_row", "uid", "kept", "_score", "block")}
+    frame(spark, rows).select(*corpus_pipeline.COLUMNS).withColumns(clashing).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def last(d):
+    return (d is None, d or 0)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
-    rows = documents()
-    frame(spark).select(*corpus_pipeline.COLUMNS, F.lit(1).alias("extra")).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(d, 1, 0) for d, _ in rows if d is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    """Each stage keeps exactly the rows that a plain version of it keeps of its own input."""
+    rows = documents() + [(800 + i, f"$$ {i} !! 99 %% ## @@ {i} ~~ **") for i in range(30)]
+    docs = written(spark, tmp_path, rows, [(d, int(d < 800), 0) for d, _ in rows if d is not None])
+    left = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path))
-        path = f"{tmp_path}/{name}"
-        docs.write.parquet(path)
-        docs = spark.read.parquet(path)
+        given, docs = docs, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
         left[name] = docs.collect()
-        assert name == "packing" or tuple(docs.columns) == corpus_pipeline.COLUMNS
-    assert len(left["quality"]) == len(rows)  # one class of labels: everything passes
-    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in left["exact_dedup"]]
-    assert sorted(texts) == sorted({re.sub(r"[\x20\x09-\x0D]+", " ", x or "") for _, x in rows})
-    sets = [s for r in left["near_dedup"] if (s := {tuple((w := r.text.split())[i : i + 5]) for i in range(len((r.text or "").split()) - 4)}) or True if r.text]
-    for i, a in enumerate(sets):
-        for b in sets[:i]:
-            assert not a or len(a & b) < 0.8 * len(a | b)
-    assert {r.doc_id for r in left["near_dedup"]} >= {0, 1, 2, 400, 405, 500, 503, 507}
-    seen = {}
+        if name == "quality":
+            model = rules.fit_quality(given, table(spark, str(tmp_path), "labels"))
+            scores = rules.score_quality(given.drop("kept"), model).collect()
+            left["accepted"] = [(r.doc_id, r.text or "") for r in scores if r.score >= rules.THRESHOLD]
+        if name != "packing":
+            assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+    said = lambda rows: sorted(((r.doc_id, r.text or "") for r in rows), key=repr)
+    assert said(left["quality"]) == sorted(left["accepted"], key=repr) and 0 < len(left["quality"]) < len(rows)
+    groups = defaultdict(list)
+    for r in left["quality"]:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r)
+    assert sorted((last(min((r.doc_id for r in g), key=last)), t) for t, g in groups.items()) == sorted((last(r.doc_id), re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in left["exact_dedup"])
+    near = brute_near([(r.doc_id, r.text or "") for r in left["exact_dedup"]])
+    assert said(left["near_dedup"]) == sorted((min(g, key=lambda x: last(x[0])) for g in near), key=repr)
+    assert said(left["substring_dedup"]) == sorted(brute_removed([(r.doc_id, r.text or "") for r in left["near_dedup"]]), key=repr)
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
     for r in left["substring_dedup"]:
-        w = (r.text or "").split()
-        for i in range(len(w) - 49):
-            assert seen.setdefault(tuple(w[i : i + 50]), r.doc_id) == r.doc_id
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want += [(r.doc_id, k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    assert sorted((tuple(r)[:5] for r in left["packing"]), key=repr) == sorted(want, key=repr)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left["packing"])
-    assert {r.doc_id for r in left["packing"]} == {r.doc_id for r in left["substring_dedup"]}
+
+
+def brute_near(rows):
+    sets = []
+    for _, x in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
+                parent[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[root(i)].append(r)
+    return list(groups.values())
+
+
+def brute_removed(rows, window=50):
+    first, out = {}, []
+    split = [re.findall(r"[^\x20\x09-\x0D]+", x) for _, x in rows]
+    for (d, _), w in zip(rows, split, strict=True):
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            first[key] = min(first.get(key, (True, 1)), last(d))
+    for (d, x), w in zip(rows, split, strict=True):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < last(d):
+                gone[i : i + window] = [True] * window
+        if not any(gone):
+            out.append((d, x))
+        elif not all(gone):
+            out.append((d, " ".join(y for y, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    written(spark, tmp_path, [], [(1, 1, 0)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
