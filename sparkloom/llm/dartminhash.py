@@ -30,11 +30,12 @@ def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, sets:
     while todo.any():
         own = todo[owner]
         slot, rank, value = _darts(element[own], owner[own], None if share is None else share[own], limit, k)
-        # The earliest dart of each (set, coordinate).
-        order = np.lexsort((rank, slot))
-        first = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
-        filled = np.zeros(sets * k, bool)
-        filled[slot[first]] = True
+        # The earliest dart of each (set, coordinate): written from the last to the first, the earliest one stays.
+        order = np.argsort(rank)[::-1]
+        dart = np.full(sets * k, -1)
+        dart[slot[order]] = order
+        filled = dart >= 0
+        first = dart[filled]
         full = todo & filled.reshape(sets, k).all(1)
         keep = first[full[slot[first] // k]]
         out.reshape(-1)[slot[keep]] = value[keep]
@@ -44,20 +45,24 @@ def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, sets:
 
 
 def _darts(element, owner, share, limit, k):
-    """All darts below their sets' limits: slot (set * k + coordinate), rank, value."""
-    rank, slots, ranks, values, count = np.zeros(len(element)), [], [], [], 0
+    """All darts below their sets' limits: slot (set * k + coordinate), rank, value.
+
+    The darts of an element come in order of rank, a few more of them at each turn: large sets need few for each element, small ones many.
+    """
+    rank, slots, ranks, values, count, many = np.zeros(len(element)), [], [], [], 1, 2
     while len(element):
-        count += 1
-        draw = mix(element + np.uint64(count * int(_DART) & 0xFFFFFFFFFFFFFFFF))
-        rank = rank - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
-        alive = rank < limit[owner]
-        element, owner, rank, draw = element[alive], owner[alive], rank[alive], draw[alive]
-        value = mix(draw ^ _COORD)
-        hit = slice(None)
-        if share is not None:
-            share = share[alive]
-            hit = (mix(value) >> np.uint64(11)).astype(np.float64) / float(1 << 53) < share
-        slots.append((owner * k + (value % np.uint64(k)).astype(np.int64))[hit])
-        ranks.append(rank[hit])
+        draw = mix(element[:, None] + np.arange(count, count + many, dtype=np.uint64) * _DART)
+        steps = np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
+        steps[:, 0] -= rank
+        at = -np.cumsum(steps, 1)
+        row, column = np.nonzero(at < limit[owner][:, None])
+        value = mix(draw[row, column] ^ _COORD)
+        hit = slice(None) if share is None else (mix(value) >> np.uint64(11)).astype(np.float64) / float(1 << 53) < share[row]
+        slots.append((owner[row] * k + (value % np.uint64(k)).astype(np.int64))[hit])
+        ranks.append(at[row, column][hit])
         values.append(value[hit])
+        alive = at[:, -1] < limit[owner]
+        element, owner, rank = element[alive], owner[alive], at[alive, -1]
+        share = None if share is None else share[alive]
+        count, many = count + many, min(2 * many, 256)
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((slots, np.int64), (ranks, float), (values, np.uint64)))

@@ -46,7 +46,7 @@ BUCKET = 32
 #: Bytes of text, and nodes, of a chunk when larger buckets are compared.
 CHUNK_BYTES, CHUNK = 4 << 20, 4096
 #: Bytes and number of the texts that are signed or verified at once: a set draws about 900 darts, however small it is.
-SLICE_BYTES, SLICE = 256 << 10, 256
+SLICE_BYTES, SLICE = 512 << 10, 512
 
 _SIGNED = "doc_id long, _file long, _row long, set_a long, set_b long, n long, size long, bands array<bigint>, sketch binary"
 _OWNER = np.uint64(0x9E3779B97F4A7C15)
