@@ -23,6 +23,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from itertools import compress
 
@@ -43,7 +44,7 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 _NO_ID = np.iinfo(np.int64).max
-_WIDE = np.dtype([("a", "<u8"), ("b", "<u8")])
+_COVERED = np.isin(np.arange(PERIOD), COVER)
 
 
 class _Block:
@@ -64,19 +65,20 @@ class _Block:
         self.window = window
         self.anchor_words = window - PERIOD + 1
 
-    def slices(self):
-        """(first document, texts, word hashes, word bounds by document) of about a megabyte of text."""
+    @functools.cached_property
+    def slices(self) -> list[tuple]:
+        """(first document, texts, word hashes, word bounds by document, anchors) of about a megabyte of text each, worked out once."""
+        out = []
         for a, b in bounded([len(t) + 1 for t in self.texts], 1 << 20):
-            joined = b"\n".join(self.texts[a:b])
-            hashed, start, _ = words(joined)
-            edges = np.cumsum([0, *(len(t) + 1 for t in self.texts[a:b])])
-            yield a, self.texts[a:b], hashed, np.searchsorted(start, edges)
+            hashed, start, _ = words(b"\n".join(self.texts[a:b]))
+            bounds = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in self.texts[a:b])]))
+            out.append((a, self.texts[a:b], hashed, bounds, self._anchors(hashed, bounds)))
+        return out
 
-    def anchors(self, hashed: np.ndarray, bounds: np.ndarray):
+    def _anchors(self, hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of the anchors of a slice, their hashes and documents (numbers in the slice)."""
         place, doc = _places(bounds, self.window)
-        phase = (place - bounds[doc]) % PERIOD
-        fits = np.isin(phase, COVER) & (place + self.anchor_words <= bounds[doc + 1])
+        fits = _COVERED[(place - bounds[doc]) % PERIOD] & (place + self.anchor_words <= bounds[doc + 1])
         place, doc = place[fits], doc[fits]
         return place, runs(hashed, self.anchor_words)[place] if len(place) else np.zeros(0, np.uint64), doc
 
@@ -97,49 +99,53 @@ def _first_of(sorted_keys: np.ndarray) -> np.ndarray:
 
 def _block_anchors(block: _Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a block, sorted, and whether several of its documents hold one."""
-    hashes, docs = [], []
-    for first, _, hashed, bounds in block.slices():
-        _, h, d = block.anchors(hashed, bounds)
-        hashes.append(h)
-        docs.append(d + first)
-    if not hashes:
+    if not block.slices:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.argsort(h, kind="stable")
+    h = np.concatenate([anchors[1] for *_, anchors in block.slices])
+    d = np.concatenate([anchors[2] + first for first, *_, anchors in block.slices])
+    order = np.argsort(h)
     h, d = h[order], d[order]
     at = _first_of(h) if len(h) else np.zeros(0, np.int64)
     return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at) if len(h) else np.zeros(0, bool)
 
 
-def _block_windows(block: _Block, shared: np.ndarray):
-    """For each slice: its windows around shared anchors as (document, place, 128-bit hash)."""
-    for first, texts, hashed, bounds in block.slices():
-        place, h, doc = block.anchors(hashed, bounds)
+def _block_windows(block: _Block, shared: np.ndarray) -> list[tuple]:
+    """For each slice: its windows around shared anchors as (first document, texts, bounds, document, place, 128-bit hash)."""
+    out = []
+    for first, texts, hashed, bounds, (place, h, doc) in block.slices:
         hit = np.zeros(len(h), bool)
         if len(shared) and len(h):
             at = np.searchsorted(shared, h)
             hit = shared[np.minimum(at, len(shared) - 1)] == h
         # An anchor at p lies, at a shift below PERIOD, in the windows from p - PERIOD + 1 to p.
-        steps = np.zeros(len(hashed) + 1, np.int64)
-        np.add.at(steps, np.maximum(place[hit] - PERIOD + 1, bounds[doc[hit]]), 1)
-        np.add.at(steps, place[hit] + 1, -1)
-        near = np.cumsum(steps)[:-1] > 0
+        near = _covered(np.maximum(place[hit] - PERIOD + 1, bounds[doc[hit]]), place[hit] + 1, len(hashed))
         at = np.flatnonzero(near)
         of = np.searchsorted(bounds, at, "right") - 1
         fits = at + block.window <= bounds[of + 1]
         at, of = at[fits], of[fits]
-        wide = np.zeros(len(at), _WIDE)
+        wide = np.zeros((2, len(at)), np.uint64)
         if len(at):
-            wide["a"], wide["b"] = runs(hashed, block.window, 0)[at], runs(hashed, block.window, 1)[at]
-        yield first, texts, bounds, of, at, wide
+            wide[0], wide[1] = runs(hashed, block.window, 0)[at], runs(hashed, block.window, 1)[at]
+        out.append((first, texts, bounds, of, at, wide))
+    return out
 
 
-def _sorted_windows(wide: np.ndarray, ids: np.ndarray):
-    """Distinct windows in order, with the smallest id of each."""
-    order = np.lexsort((ids, wide["b"], wide["a"]))
-    wide, ids = wide[order], ids[order]
-    at = _first_of(wide) if len(wide) else np.zeros(0, np.int64)
-    return wide[at], ids[at]
+def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the stretches."""
+    return np.cumsum(np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1])[:-1] > 0
+
+
+def _distinct_windows(block: _Block, found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of a block in order (both halves), the smallest id of each, and which of them each window is."""
+    number = _numbers(block)
+    a, b = np.concatenate([x[-1] for x in found] or [np.zeros((2, 0), np.uint64)], 1)
+    ids = np.concatenate([number[of + first] for first, _, _, of, _, _ in found] or [np.zeros(0, np.int64)])
+    order = np.lexsort((ids, b, a))
+    a, b, ids = a[order], b[order], ids[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return np.stack((a[new], b[new])), ids[new], which
 
 
 def _shared_anchors(block: _Block, answers: pa.Table) -> np.ndarray:
@@ -163,11 +169,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False,
 
     def name_windows(key: tuple, group: pa.Table, anchors: pa.Table) -> pa.Table:
         block = _Block(group.column("pack"), window)
-        wide, ids = _gathered(block, _shared_anchors(block, anchors))
-        n = len(wide)
+        (first, second), ids, _ = _distinct_windows(block, _block_windows(block, _shared_anchors(block, anchors)))
+        n = len(ids)
         return pa.table({
-            "a": pa.array(wide["a"].copy().view(np.int64)),
-            "b": pa.array(wide["b"].copy().view(np.int64)),
+            "a": pa.array(first.view(np.int64)),
+            "b": pa.array(second.view(np.int64)),
             "id": pa.array(ids),
             "block": pa.array(np.full(n, key[0].as_py()), pa.int64()),
             "at": pa.array(np.arange(n), pa.int32()),
@@ -175,21 +181,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: bool = False,
 
     def remove(group: pa.Table, anchors: pa.Table, windows: pa.Table) -> pa.Table:
         block = _Block(group.column("pack"), window)
-        shared = _shared_anchors(block, anchors)
-        wide, ids = _gathered(block, shared)
-        elsewhere = np.zeros(len(wide), bool)
+        found = _block_windows(block, _shared_anchors(block, anchors))
+        _, ids, which = _distinct_windows(block, found)
+        elsewhere = np.zeros(len(ids), bool)
         elsewhere[windows.column("at").to_numpy()] = True
         out: list[tuple] = []
-        number = _numbers(block)
-        for first, texts, bounds, of, at, own in _block_windows(block, shared):
-            gone = np.zeros(int(bounds[-1]), bool)
-            if len(at):
-                k = _find(wide, own)
-                hit = elsewhere[k] | (ids[k] < number[of + first])
-                steps = np.zeros(len(gone) + 1, np.int64)
-                np.add.at(steps, at[hit], 1)
-                np.add.at(steps, at[hit] + window, -1)
-                gone = np.cumsum(steps)[:-1] > 0
+        number, done = _numbers(block), 0
+        for first, texts, bounds, of, at, _ in found:
+            own = which[done : done + len(at)]
+            done += len(at)
+            hit = at[elsewhere[own] | (ids[own] < number[of + first])]
+            gone = _covered(hit, hit + window, int(bounds[-1]))
             for i, data in enumerate(texts):
                 lost = gone[bounds[i] : bounds[i + 1]]
                 kept = data.split()
@@ -232,23 +234,5 @@ def _numbers(block: _Block) -> np.ndarray:
     return np.array([_NO_ID if d is None else d for d in block.doc_ids], np.int64)
 
 
-def _gathered(block: _Block, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    number, wides, ids = _numbers(block), [], []
-    for first, _, _, of, _, wide in _block_windows(block, shared):
-        wides.append(wide)
-        ids.append(number[of + first])
-    if not wides:
-        return np.zeros(0, _WIDE), np.zeros(0, np.int64)
-    return _sorted_windows(np.concatenate(wides), np.concatenate(ids))
-
-
-def _find(wide: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Where each of own is in the sorted distinct list wide, which holds all of them."""
-    at = np.searchsorted(wide["a"], own["a"])
-    while len(late := np.flatnonzero(wide["b"][at] != own["b"])):  # equal first halves stand side by side
-        at[late] += 1
-    return at
-
-
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
