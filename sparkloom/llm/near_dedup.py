@@ -7,14 +7,13 @@ twice in a document this is the similarity of plain sets.
 
 1. Each text is hashed and signed once, in one pass. Equal sets become one node, so exact copies cost nothing more.
 2. Bands of four coordinates give keys; 32 bands miss a pair of similarity 0.8 once in twenty million. Keys are counted
-   with partial sums. A bucket of up to BUCKET nodes names all its pairs, a constant number a node; a larger one names only
-   its links to a hub.
+   with partial sums, and each bucket, whatever its size, first names only the links of its nodes to a hub.
 3. Candidates are cut down by the weights of the sets (exact) and by a byte of each coordinate (five standard
    deviations below the threshold), then verified on whole texts, each node's best first. Pairs inside a class that has already
    formed are skipped: they cannot change it.
-4. In buckets beyond BUCKET that still hold several classes, chunks of nodes meet in one task each with their texts, and every
-   pair across classes that passes the filters is verified there; only links leave the task. Nothing is capped, and no
-   group is held by one task.
+4. Buckets that then still hold several classes are compared whole. One of up to BUCKET nodes names its pairs across classes, a
+   constant number a node. In a larger one chunks of nodes meet in one task each with their texts, and every pair across classes that passes
+   the filters is verified there; only links leave the task. Nothing is capped, and no group is held by one task.
 
 Defined results: null text and text without words have no set and stand alone; copies are one class whatever their
 doc_ids; a class is named by its smallest doc_id (null only if all are null), and the row that has it, the first one of equal
@@ -41,7 +40,7 @@ from .hashing import mix, runs, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-#: Nodes of a bucket that names all its pairs.
+#: Nodes of a bucket that names its pairs across classes as rows.
 BUCKET = 32
 #: Bytes of text, and nodes, of a chunk when larger buckets are compared.
 CHUNK_BYTES, CHUNK = 4 << 20, 4096
@@ -212,6 +211,13 @@ def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similar
     return labels
 
 
+def _parted(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with `comp`, of the buckets that hold several classes."""
+    member = buckets.join(labels, "node")
+    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return member.join(several, "key", "left_semi")
+
+
 def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, similarity: float) -> DataFrame:
     """Links (a, b) across classes within larger buckets; of all links between two classes, some that join them.
 
@@ -286,16 +292,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, place: bool =
     heads = members.where("n > 0 AND uid = node").select("uid", "node")
     nodes = materialize(heads.join(signed.select("uid", *PLACE, "n", "size", "bands", "sketch"), "uid").drop("uid"), "nodes")
     buckets = _buckets(nodes)
-    small, large = buckets.where(F.col("m") <= BUCKET).select("key", "node"), buckets.where(F.col("m") > BUCKET).select("key", "node", "hub")
-    inside = small.selectExpr("key", "node AS a").join(small.selectExpr("key", "node AS b"), "key").where("a < b").select("a", "b")
-    spokes = large.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    near = materialize(_estimated(inside.unionByName(spokes).distinct(), nodes, least, similarity), "near-pairs")
-    touched = near.selectExpr("a AS node").unionByName(near.selectExpr("b AS node")).unionByName(large.select("node")).distinct()
+    spokes = buckets.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    near = materialize(_estimated(spokes, nodes, least, similarity), "near-pairs")
+    # Beyond two nodes there are pairs without the hub, so these may be compared later.
+    touched = near.selectExpr("a AS node").unionByName(near.selectExpr("b AS node")).unionByName(buckets.where("m > 2").select("node")).distinct()
     labels = materialize(touched.withColumn("comp", F.col("node")), "labels")
     texts = _texts(docs, nodes.join(labels.select("node"), "node").select("node", *PLACE))
     labels = _resolve(near, labels, texts, similarity)
-    if large.limit(1).count():
-        links = materialize(_across(large.select("key", "node"), labels, nodes, texts, least, similarity), "across")
+    parted = materialize(_parted(buckets.where("m > 2"), labels), "parted-buckets")
+    if parted.limit(1).count():
+        small = parted.where((F.col("m") <= BUCKET) & (F.col("node") != F.col("hub"))).select("key", "node", "comp")
+        left, right = small.selectExpr("key", "node AS a", "comp AS ca"), small.selectExpr("key", "node AS b", "comp AS cb")
+        inside = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+        labels = _resolve(materialize(_estimated(inside, nodes, least, similarity), "near-pairs"), labels, texts, similarity)
+        links = materialize(_across(parted.where(F.col("m") > BUCKET).select("key", "node"), labels, nodes, texts, least, similarity), "across")
         if links.limit(1).count():
             labels = merged(labels, links)
     joined = members.join(labels, "node", "left").select("uid", "doc_id", *PLACE, F.coalesce("comp", "node").alias("comp"))
