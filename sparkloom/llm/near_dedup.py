@@ -211,11 +211,16 @@ def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similar
     return labels
 
 
-def _parted(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with `comp`, of the buckets that hold several classes."""
-    member = buckets.join(labels, "node")
-    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return member.join(several, "key", "left_semi")
+def _parted(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp, m, hub): the members of the buckets of more than two nodes that hold several classes.
+
+    Labels meet nodes before their keys are written out, and only members of parted buckets leave the join.
+    """
+    member = labels.join(nodes.select("node", "bands"), "node").select("node", "comp", F.explode("bands").alias("key"))
+    several = member.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    return member.join(several.where("m > 2 AND lo <> hi").select("key", "m", "hub"), "key")
 
 
 def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, similarity: float) -> DataFrame:
@@ -299,7 +304,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, place: bool =
     labels = materialize(touched.withColumn("comp", F.col("node")), "labels")
     texts = _texts(docs, nodes.join(labels.select("node"), "node").select("node", *PLACE))
     labels = _resolve(near, labels, texts, similarity)
-    parted = materialize(_parted(buckets.where("m > 2"), labels), "parted-buckets")
+    parted = materialize(_parted(nodes, labels), "parted-buckets")
     if parted.limit(1).count():
         small = parted.where((F.col("m") <= BUCKET) & (F.col("node") != F.col("hub"))).select("key", "node", "comp")
         left, right = small.selectExpr("key", "node AS a", "comp AS ca"), small.selectExpr("key", "node AS b", "comp AS cb")
