@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def lean() -> None:
-    """In a Python worker: let freed memory go back to the system, as many workers share a machine's memory."""
+    """In a Python worker: let freed memory go back to the system, as many workers share a machine's memory.
+
+    Workers are used again, by other stages too: what the task before has freed, Arrow's pool and the heap's gaps included, goes now.
+    """
+    pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-8, 1)  # one arena
         libc.mallopt(-3, 4 << 20)  # larger blocks are mapped, so they go when freed
         libc.mallopt(-1, 16 << 20)  # free memory at the heap's end beyond this goes
-    except OSError:  # another C library
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
         pass
 
 
