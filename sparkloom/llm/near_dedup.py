@@ -212,37 +212,39 @@ def _resolve(open_pairs: DataFrame, labels: DataFrame, texts: DataFrame, similar
 
 
 def _parted(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, comp, m, hub): the members of the buckets of more than two nodes that hold several classes.
+    """(key, node, comp, m, bytes, hub): the members of the buckets of more than two nodes that hold several classes.
 
     Labels meet nodes before their keys are written out, and only members of parted buckets leave the join.
     """
-    member = labels.join(nodes.select("node", "bands"), "node").select("node", "comp", F.explode("bands").alias("key"))
+    member = labels.join(nodes.select("node", "size", "bands"), "node").select("node", "comp", "size", F.explode("bands").alias("key"))
     several = member.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"), F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    return member.join(several.where("m > 2 AND lo <> hi").select("key", "m", "hub"), "key")
+    return member.drop("size").join(several.where("m > 2 AND lo <> hi").select("key", "m", "bytes", "hub"), "key")
 
 
 def _across(large: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, similarity: float) -> DataFrame:
-    """Links (a, b) across classes within larger buckets; of all links between two classes, some that join them.
+    """Links (a, b) across classes within larger buckets (key, node, m, bytes); of all links between two classes, some that join them.
 
     A bucket's members are dealt into chunks, and each two chunks meet in one task with their texts. Every pair across
     classes that the bytes let through is verified there, in the first bucket that its nodes share; links alone leave the task.
+    A node meets its class and its text once, with the keys of all its buckets; rows by bucket are written out from there.
     """
-    member = large.join(labels, "node").join(nodes.select("node", "size"), "node")
-    split = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     chunks = F.greatest(F.ceil(F.col("m") / F.lit(CHUNK)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("int")
-    chunked = member.join(split.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp"
+    owned = large.groupBy("node").agg(F.collect_list(F.struct("key", chunks.alias("chunks"))).alias("buckets"))
+    met = owned.join(labels, "node").join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node")
+    chunked = met.withColumn("bucket", F.explode("buckets")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("bucket.chunks")).cast("int"))
+    rows = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bucket.chunks") - 1))).select(
+        F.col("bucket.key").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "bands", "sketch", "text"
     )
-    rows = dealt.join(nodes.select("node", "bands", "sketch").join(texts, "node"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         lean()
         group = group.combine_chunks()
         key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         node, comp, own = (group.column(c).to_numpy() for c in ("node", "comp", "own"))
+        if comp.min() == comp.max():  # links of smaller buckets have joined its classes
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         comp = comp.copy()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         bands = pc.list_flatten(group.column("bands")).to_numpy().reshape(len(node), -1)
@@ -310,7 +312,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, place: bool =
         left, right = small.selectExpr("key", "node AS a", "comp AS ca"), small.selectExpr("key", "node AS b", "comp AS cb")
         inside = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
         labels = _resolve(materialize(_estimated(inside, nodes, least, similarity), "near-pairs"), labels, texts, similarity)
-        links = materialize(_across(parted.where(F.col("m") > BUCKET).select("key", "node"), labels, nodes, texts, least, similarity), "across")
+        links = materialize(_across(parted.where(F.col("m") > BUCKET), labels, nodes, texts, least, similarity), "across")
         if links.limit(1).count():
             labels = merged(labels, links)
     joined = members.join(labels, "node", "left").select("uid", "doc_id", *PLACE, F.coalesce("comp", "node").alias("comp"))

@@ -287,3 +287,32 @@ def test_near(spark, monkeypatch, bucket, chunk):
     assert multiset(tuple(r)[:3] for r in got) == multiset(want)
     assert sum(r.kept for r in got) == len(classes)
     assert near_dedup.near_classes(empty(spark)).collect() == []
+
+
+def join_rows(plan):
+    """The rows that each join of an executed plan made."""
+    name = plan.nodeName()
+    inner = "plan" if name.endswith("QueryStage") else "executedPlan" if name == "AdaptiveSparkPlan" else None
+    found = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    for child in [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]:
+        found += join_rows(child)
+    return found
+
+
+def test_near_meets_a_node_once_for_all_its_larger_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET", 2)
+    made, across = [], near_dedup._across
+
+    def seen(large, *rest):
+        out = across(large, *rest)
+        out.collect()
+        made.append((large.count(), large.select("node").distinct().count(), join_rows(out._jdf.queryExecution().executedPlan())))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", seen)
+    base = [f"w{i}" for i in range(200)]  # each text changes words of its own: about 0.73 like any other
+    rows = [(n, " ".join(f"x{n}" if i % 67 == 3 * n % 67 else w for i, w in enumerate(base))) for n in range(16)]
+    got = near_dedup.near_classes(frame(spark, rows)).collect()
+    assert len(got) == 16 and len(made) == 1
+    in_buckets, nodes, joins = made[0]
+    assert in_buckets > 2 * nodes and len(joins) >= 3 and max(joins) <= nodes, (in_buckets, nodes, joins)
