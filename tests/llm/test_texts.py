@@ -140,6 +140,16 @@ def test_indexes_of_like_names_are_apart(spark):
     assert [r.kept for r in copy.add(frame(spark, [(5, "y"), (6, "z")])).collect()] == [False, True]
 
 
+def test_a_compacted_index_knows_its_texts(spark):
+    index = exact_dedup.DigestIndex(spark, scratch(spark, "index"), 4)
+    index.add(frame(spark, [(1, "x")])).collect()
+    index.add(frame(spark, [(3, "y"), (4, "x")])).collect()
+    copy = index.compact(scratch(spark, "compact"))
+    index.drop()
+    got = {r.doc_id: (r.keep_id, r.kept) for r in copy.add(frame(spark, [(5, "y"), (6, "z")])).collect()}  # rows come in any order
+    assert got == {5: (3, False), 6: (6, True)}
+
+
 @given(st.lists(st.integers(0, 5000), max_size=700))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(steps):
